@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpgraph.llm import vectors
-from kelpgraph.session import table
+from kelpgraph.llm import mixing, splitting, vectors
+from kelpgraph.session import cut_lineage, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,57 @@ def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search_vectors(table(spark, sf_dir, "node_embeddings"), F.col("node_id") % 50 == 0, k=10)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_search": p1_search}
+def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = splitting.section_items(table(spark, sf_dir, "sections"), table(spark, sf_dir, "file_contents"))
+    return sections.unionByName(splitting.chunk_items(table(spark, sf_dir, "node_embeddings")))
 
-ORACLES: dict[str, str] = {}
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_items(_oversized(spark, sf_dir))
+    return pieces.where("piece_no = 0").select("src", F.col("item_id").cast("long").alias("item_id")).distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece with its place in the item, in characters and bytes."""
+    return splitting.split_items(_oversized(spark, sf_dir))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.sized_documents(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(cut_lineage(sized), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    sized = cut_lineage(mixing.sized_documents(table(spark, sf_dir, "documents")))
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.reached_shares(mixing.mix_sources(sized, targets), sized, targets)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_search": p1_search,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+}
+
+_P4 = """
+WITH current AS (
+  SELECT project_id, file_path, arg_max(content, (indexed_at, run_id, content)) AS content
+  FROM file_contents GROUP BY 1, 2),
+lined AS (
+  SELECT project_id, file_path, string_split(CASE WHEN right(content, 1) = chr(10) THEN content[:-2] ELSE content END, chr(10)) AS lines
+  FROM current),
+wanted AS (
+  SELECT DISTINCT section_id, s.start_line, least(coalesce(s.end_line, len(lines)), len(lines)) AS last, lines
+  FROM sections s JOIN lined USING (project_id, file_path)),
+texts AS (
+  SELECT section_id, array_to_string([regexp_replace(x, chr(13) || '$', '') for x in lines[start_line:last]], chr(10)) AS text FROM wanted)
+SELECT DISTINCT 'section' AS src, section_id AS item_id FROM texts WHERE length(text) > 1500
+UNION ALL
+SELECT DISTINCT 'chunk', id FROM node_embeddings WHERE length(chunk_text) > 1500
+"""
+
+ORACLES: dict[str, str] = {"p4_found": _P4}
