@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpgraph.llm import mixing, splitting, vectors
+from kelpgraph.llm import mixing, residue, splitting, vectors
 from kelpgraph.session import cut_lineage, table
 
 
@@ -47,6 +47,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached_shares(mixing.mix_sources(sized, targets), sized, targets)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_search": p1_search,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
 }
 
 _P4 = """
