@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpgraph.llm import mixing, residue, splitting, vectors
+from kelpgraph.llm import credentials, mixing, residue, splitting, vectors
 from kelpgraph.session import cut_lineage, table
 
 
@@ -20,6 +20,20 @@ def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search_vectors(table(spark, sf_dir, "node_embeddings"), F.col("node_id") % 50 == 0, k=10)
 
 
+def _credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_credentials(credentials.credential_items(table(spark, sf_dir, "node_embeddings"), table(spark, sf_dir, "search_hits")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _credentials(spark, sf_dir)
+    return found.select("src", "row_id", F.explode("lines").cast("long").alias("line_no")).distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that hold credentials, with these made unreadable."""
+    return _credentials(spark, sf_dir).select("src", "row_id", "redacted").distinct()
+
+
 def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = splitting.section_items(table(spark, sf_dir, "sections"), table(spark, sf_dir, "file_contents"))
     return sections.unionByName(splitting.chunk_items(table(spark, sf_dir, "node_embeddings")))
@@ -54,6 +68,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_search": p1_search,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p8_mix": p8_mix,
