@@ -45,7 +45,7 @@ FETCH_WORDS = frozenset("getenv environ env load_secret loadsecret get_secret ge
 COMMENT_WORDS = frozenset("key token secret password credential prod production sign requests commit api billing rotation temporary login".split())
 PLACEHOLDERS = re.compile(
     r"^(?:<[^>]*>?|\{[^}]*\}|\$\{.*|\{\{.*|%[sdv(].*|\$\w+|\*{3,}|x{3,}|X{3,}|\.{3,}|-+|_+|•+|\#+|none|null|nil|undefined|true|false|empty|unset|n/?a|todo|tbd|fixme|test|dummy|example|sample|secret|password|passwd|pass|pwd|token|user|admin|root|string"
-    r"|(?:your|my|insert|enter|replace|change|put|add|use|set|the|some|a|fake|dummy|example|sample|test|redacted|masked|hidden|placeholder|removed|changeme)[-_ ]?(?:.*[-_ ])?(?:key|token|secret|password|passwd|pass|here|me|it|this|value|placeholder|credential|credentials|redacted)?(?:[-_ ]?here)?|\[?redacted\]?|changeme|xxxx.*|your.*|insert.*here|replace.*me)$",
+    r"|(?:your|my|insert|enter|replace|change|put|add|use|set|the|some|a|fake|dummy|example|sample|test|redacted|masked|hidden|placeholder|removed|changeme)[-_ ](?:.*[-_ ])?(?:key|token|secret|password|passwd|pass|here|me|it|this|value|placeholder|credential|credentials|redacted)?(?:[-_ ]?here)?|\[?redacted\]?|changeme|xxxx.*|your.*|insert.*here|replace.*me)$",
     re.I,
 )
 TOKEN = re.compile(
@@ -140,7 +140,7 @@ def tokens_of(line: str) -> list[Token]:
                     out.append(Token(rest, at + key.end() + 1, role="bare"))
                 at = run.end()
                 continue
-            if run and (before == "" or before.isspace() or before in "=:\"'`>") and follows not in "([{" and len(text) >= 6 and not NAME.match(text) or run and re.fullmatch(r"[A-Za-z0-9+/_\-.~]{12,}={0,2}", text) and follows not in ("(", "["):
+            if run and (before == "" or before.isspace() or before in "=:\"'`>") and not (follows and follows in "([{") and len(text) >= 6 and not NAME.match(text) or run and re.fullmatch(r"[A-Za-z0-9+/_\-.~]{12,}={0,2}", text) and follows not in ("(", "["):
                 out.append(Token(text, at, role="bare"))
                 at = run.end()
                 continue
@@ -367,6 +367,8 @@ def credential_lines(n: int = TRAINING_LINES, seed: int = 3) -> list[tuple[str,
             add(r.choice(["{c} login: {u} / {v}", "{c} temporary key {v} until the rotation", "{c} the password is {v}", "{c} user {u}, password {v}", "{c} token {v} expires soon", "{c} old secret: {v}", "{c} old pw was {v}", "{c} pw is {v}", "{c} the old password was {v} until May", "{c} pwd {v}, ask ops"]).format(c=r.choice(["//", "#", "*", "--"]), u=r.choice(["deploy", "admin", "bot"]), v=v), v)
         elif kind == 19:
             v = weak().replace("'", "").replace("\"", "")
+            if r.random() < 0.3:
+                add(f"curl -u {r.choice(['admin', 'bot', 'svc'])}:{r.choice(['****', '$PASS', '<password>', '${PW}', '********', 'xxxx'])} https://{word()}-{r.randint(1, 30)}.{word()}.test/")
             add(f"curl -u {r.choice(['admin', 'bot', 'svc'])}:{v} https://{word()}-{r.randint(1, 30)}.{word()}.test/{word()}", v)
         elif kind == 20:
             v = weak().replace("'", "")

@@ -26,7 +26,7 @@ def _credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _credentials(spark, sf_dir)
-    return found.select("src", "row_id", F.explode("lines").cast("long").alias("line_no")).distinct()
+    return found.select("src", "row_id", F.explode(F.col("lines").cast("array<long>")).alias("line_no")).distinct()
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
