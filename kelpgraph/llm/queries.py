@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpgraph.llm import credentials, mixing, residue, splitting, vectors
+from kelpgraph.llm import credentials, mixing, provenance, residue, splitting, vectors
 from kelpgraph.session import cut_lineage, table
 
 
@@ -20,6 +20,19 @@ def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search_vectors(table(spark, sf_dir, "node_embeddings"), F.col("node_id") % 50 == 0, k=10)
 
 
+def _foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.foreign_files(cut_lineage(provenance.profile_files(table(spark, sf_dir, "file_contents"))))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _foreign(spark, sf_dir).select("project_id", "file_path").distinct()
+
+
+def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that no one wrote by hand, counted by project and kind."""
+    return _foreign(spark, sf_dir).groupBy("project_id", "kind").agg(F.count("*").alias("files"))
+
+
 def _credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_credentials(credentials.credential_items(table(spark, sf_dir, "node_embeddings"), table(spark, sf_dir, "search_hits")))
 
@@ -68,6 +81,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_search": p1_search,
+    "p2_found": p2_found,
+    "p2_kinds": p2_kinds,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
     "p4_found": p4_found,

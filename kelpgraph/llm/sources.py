@@ -12,15 +12,29 @@ LANGUAGE_OF = {
 }
 
 
-def current_files(contents: DataFrame) -> DataFrame:
-    """(project_id, file_path, content): the row with the latest ``indexed_at`` of each file.
+ORDER = ("indexed_at", "run_id", "version")
+
+
+def file_versions(contents: DataFrame) -> DataFrame:
+    """(project_id, file_path, indexed_at, run_id, version, content) of all rows that name a file.
 
-    Equal times are decided by the larger run, then the larger content. A null
-    content is empty; rows with a null project or path name no file and leave.
+    A null content is empty; rows with a null project or path leave. ``version``
+    is a hash of the content, which decides between rows of equal time and run.
     """
-    rows = contents.where("project_id is not null and file_path is not null").select("project_id", "file_path", F.coalesce("content", F.lit("")).alias("content"), "indexed_at", "run_id")
-    last = F.max(F.struct("indexed_at", "run_id", "content")).alias("last")
-    return rows.groupBy("project_id", "file_path").agg(last).select("project_id", "file_path", "last.content")
+    rows = contents.where("project_id is not null and file_path is not null")
+    text = F.coalesce("content", F.lit(""))
+    return rows.select("project_id", "file_path", "indexed_at", "run_id", F.xxhash64(text).alias("version"), text.alias("content"))
+
+
+def latest_of(versions: DataFrame, *columns: str) -> DataFrame:
+    """(project_id, file_path, *columns) of the version with the latest ``indexed_at`` of each file."""
+    last = F.max_by(F.struct(*columns), F.struct(*ORDER)).alias("last")
+    return versions.groupBy("project_id", "file_path").agg(last).select("project_id", "file_path", *[F.col(f"last.{c}").alias(c) for c in columns])
+
+
+def current_files(contents: DataFrame) -> DataFrame:
+    """(project_id, file_path, content): the row with the latest ``indexed_at`` of each file."""
+    return latest_of(file_versions(contents), "content")
 
 
 def extension(path: Column) -> Column:
@@ -34,7 +48,12 @@ def language(path: Column) -> Column:
     return F.try_element_at(names, extension(path))
 
 
-def source_files(contents: DataFrame) -> DataFrame:
-    """(project_id, file_path, content, language) of the current source files, markdown left out."""
-    rows = current_files(contents.where(language(F.col("file_path")).isNotNull()))
+def source_versions(contents: DataFrame) -> DataFrame:
+    """All stored versions of source files, with their language; markdown and other files are left out."""
+    rows = file_versions(contents.where(language(F.col("file_path")).isNotNull()))
     return rows.withColumn("language", language(F.col("file_path")))
+
+
+def source_files(contents: DataFrame) -> DataFrame:
+    """(project_id, file_path, content, language) of the current source files."""
+    return latest_of(source_versions(contents), "content", "language")
