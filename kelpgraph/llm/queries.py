@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpgraph.llm import credentials, mixing, provenance, residue, splitting, vectors
+from kelpgraph.llm import credentials, docpairs, mixing, provenance, residue, splitting, vectors
 from kelpgraph.session import cut_lineage, table
 
 
@@ -62,6 +62,16 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(_oversized(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = docpairs.documented_functions(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "file_contents"))
+    return found.select("node_id", F.col("doc_line").cast("long").alias("doc_line")).distinct()
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and description of every documented function."""
+    return docpairs.code_pairs(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "file_contents"))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sized_documents(table(spark, sf_dir, "documents"))
     return mixing.mix_sources(cut_lineage(sized), table(spark, sf_dir, "mix_targets"))
@@ -87,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_pairs": p5_pairs,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
