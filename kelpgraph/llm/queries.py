@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpgraph.llm import credentials, docpairs, mixing, provenance, residue, splitting, vectors
+from kelpgraph.llm import credentials, docpairs, mixing, packing, provenance, residue, splitting, vectors
 from kelpgraph.session import cut_lineage, table
 
 
@@ -72,6 +72,21 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.code_pairs(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "file_contents"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    described = cut_lineage(packing.described_documents(documents))
+    return packing.pack_documents(documents, table(spark, sf_dir, "pack_bins"), described=described)
+
+
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each class are."""
+    return packing.container_fill(_packed(spark, sf_dir), table(spark, sf_dir, "pack_bins"))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sized_documents(table(spark, sf_dir, "documents"))
     return mixing.mix_sources(cut_lineage(sized), table(spark, sf_dir, "mix_targets"))
@@ -99,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
+    "p7_pack": p7_pack,
+    "p7_fill": p7_fill,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
