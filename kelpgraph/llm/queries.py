@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpgraph.llm import credentials, docpairs, mixing, packing, provenance, residue, splitting, vectors
+from kelpgraph.llm import credentials, docpairs, invalid, mixing, packing, provenance, residue, splitting, vectors
 from kelpgraph.session import cut_lineage, table
 
 
@@ -72,6 +72,15 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.code_pairs(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "file_contents"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid.invalid_files(table(spark, sf_dir, "file_contents")).select("project_id", "file_path").distinct()
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of invalid files by project and language."""
+    return invalid.invalid_rates(table(spark, sf_dir, "file_contents"), table(spark, sf_dir, "index_runs"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     described = cut_lineage(packing.described_documents(documents))
@@ -114,6 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
     "p7_pack": p7_pack,
     "p7_fill": p7_fill,
     "p8_mix": p8_mix,
