@@ -1 +1 @@
-
+"""Column expressions for text, paths, vectors and counters."""

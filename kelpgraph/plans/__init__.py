@@ -1 +1 @@
-
+"""Query texts to DataFrame plans."""
