@@ -59,9 +59,9 @@ def _stem(word: str) -> str:
         if w.endswith(end) and len(w) - len(end) >= 3:
             w = w[: -len(end)]
             break
-    if len(w) > 3 and w[-1] == w[-2] and w[-1] not in "aeiou":
+    if len(w) > 3 and w[-1] in "eyi":
         w = w[:-1]
-    return w[:-1] if len(w) > 3 and w[-1] in "eyi" else w
+    return w[:-1] if len(w) > 3 and w[-1] == w[-2] and w[-1] not in "aeiou" else w
 
 
 def clean_doc(text: str) -> str:
