@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from kelpgraph.llm.crf import Crf, feature_ids, train
 
 O, B, I = 0, 1, 2
-TRAINING_LINES = 7000
+TRAINING_LINES = 9000
 MEMO = 50_000
 MASK = "[REDACTED]"
 
@@ -44,7 +44,7 @@ OTHER_WORDS = frozenset(
 FETCH_WORDS = frozenset("getenv environ env load_secret loadsecret get_secret getsecret vault secretmanager environment getenvironmentvariable process config settings read_secret fetch_secret lookup resolve keyring os param ssm".split())
 COMMENT_WORDS = frozenset("key token secret password credential prod production sign requests commit api billing rotation temporary login".split())
 PLACEHOLDERS = re.compile(
-    r"^(?:<[^>]*>?|\{[^}]*\}|\$\{.*|\{\{.*|%[sdv(].*|\$\w+|\*{3,}|x{3,}|X{3,}|\.{3,}|-+|_+|•+|\#+|none|null|nil|undefined|true|false|empty|unset|n/?a|todo|tbd|fixme|test|dummy|example|sample|secret|password|passwd|pass|pwd|token|user|admin|root|string"
+    r"^(?:<[^>]*>?|\{[^}]*\}|\$\{.*|\{\{.*|%[sdv]|%\(\w+\)s?|\$\w+|\*{3,}|x{3,}|X{3,}|\.{3,}|-+|_+|•+|\#+|none|null|nil|undefined|true|false|empty|unset|n/?a|todo|tbd|fixme|test|dummy|example|sample|secret|password|passwd|pass|pwd|token|user|admin|root|string"
     r"|(?:your|my|insert|enter|replace|change|put|add|use|set|the|some|a|fake|dummy|example|sample|test|redacted|masked|hidden|placeholder|removed|changeme)[-_ ](?:.*[-_ ])?(?:key|token|secret|password|passwd|pass|here|me|it|this|value|placeholder|credential|credentials|redacted)?(?:[-_ ]?here)?|\[?redacted\]?|changeme|xxxx.*|your.*|insert.*here|replace.*me)$",
     re.I,
 )
@@ -154,15 +154,16 @@ def _parts(name: str) -> list[str]:
 
 
 def _name_class(name: str) -> str:
-    parts = _parts(name)
+    """What a name says it holds; its last word counts most."""
+    parts = [p for p in _parts(name) if not p.isdigit()]
     joined = "".join(parts)
-    other = any(p in OTHER_WORDS for p in parts)
+    last = parts[-1] if parts else ""
     strong = any(p in STRONG_WORDS for p in parts) or joined in STRONG_WORDS
     secret = strong or any(p in SECRET_WORDS for p in parts) or joined in SECRET_WORDS
-    fetch = parts[:1] == ["env"]
-    if other:
+    if last in OTHER_WORDS:
         return "other+" if secret else "other"
-    return ("fetch+" if fetch else "") + ("strong" if strong else "secret" if secret else "plain")
+    found = "strong" if last in STRONG_WORDS or joined in STRONG_WORDS else "secret" if last in SECRET_WORDS or joined in SECRET_WORDS else "inner" if secret else "plain"
+    return ("fetch+" if parts[:1] == ["env"] else "") + found
 
 
 def _spread(text: str) -> float:
@@ -176,7 +177,7 @@ def _form(text: str) -> str:
     n = len(text)
     if PLACEHOLDERS.match(text):
         return "placeholder"
-    if re.fullmatch(r"\d[\d_.]*|0[xX][\da-fA-F]+", text):
+    if re.fullmatch(r"-?\d[\d_.]*[uUlLfF]*|0[xX][\da-fA-F]+", text):
         return "number"
     if re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", text, re.I):
         return "uuid"
@@ -275,7 +276,7 @@ def credential_lines(n: int = TRAINING_LINES, seed: int = 3) -> list[tuple[str,
     import random
 
     r = random.Random(seed)
-    plain = "alpha river stone maple tower copper amber delta forest garden island jungle kernel ladder magnet needle orchid pepper quiver rocket saddle temple umpire violet walnut zephyr cloud bridge candle".split()
+    plain = "digest cache batch window frame hash label river stone maple tower copper amber delta forest garden island jungle kernel ladder magnet needle orchid pepper quiver rocket saddle temple umpire violet walnut zephyr cloud bridge candle".split()
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     marks = "!?*+%=~^&@.#$-_"
 
@@ -326,7 +327,7 @@ def credential_lines(n: int = TRAINING_LINES, seed: int = 3) -> list[tuple[str,
 
     pre = ["", "", "app_", "their_", "default_", "my_", "svc_"]
     while len(out) < n:
-        kind = r.choice([18, 18, r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44)])
+        kind = r.choice([18, 18, 26, r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44)])
         if kind < 5:
             v = weak()
             add(assign(r.choice(pre) + r.choice(secret_names), v, r.choice(notes)), v)
@@ -358,7 +359,7 @@ def credential_lines(n: int = TRAINING_LINES, seed: int = 3) -> list[tuple[str,
             add(r.choice(["password: {v}", "  password: {v}", "pass: {v}", "{W}_PASS={v}", "{W}_PASSWORD={v}", "passwd = {v}", "pwd: {v}"]).format(v=v, W=word().upper()), v)
         elif kind == 16:
             v = strong()
-            add(r.choice(["secretAccessKey: {v}", "api_key: {v}", "{W}_TOKEN={v}", "export {W}_SECRET={v}", "token: {v}", "login --key {v}", "{w} login --token {v}", "authToken={v}"]).format(v=v, W=word().upper(), w=word()), v)
+            add(r.choice(["secretAccessKey: {v}", "api_key: {v}", "{W}_TOKEN={v}", "export {W}_SECRET={v}", "export {W}_TOKEN={v}", "export {W}_KEY={v}", "token: {v}", "login --key {v}", "{w} login --token {v}", "authToken={v}"]).format(v=v, W=word().upper(), w=word()), v)
         elif kind == 17:
             v = weak()
             add(f"machine {word()}-{r.randint(1, 40)}.{word()}.example login {r.choice(['bot', 'deploy', 'ci'])} password {v}", v)
@@ -389,7 +390,7 @@ def credential_lines(n: int = TRAINING_LINES, seed: int = 3) -> list[tuple[str,
         elif kind == 25:
             add(assign(r.choice(["checksum", "digest", "integrity", "file_hash"]), r.choice([f"sha256:{some('0123456789abcdef', 64)}", f"sha512-{some(lower + upper + digits + '+/', 86)}==", f"md5:{some('0123456789abcdef', 32)}"])))
         elif kind == 26:
-            add(r.choice([assign(r.choice(["commit", "build_sha", "revision"]), some("0123456789abcdef", 40)), f"git checkout {some('0123456789abcdef', 40)}", f"sha256sum: {some('0123456789abcdef', 64)}", f"commit {some('0123456789abcdef', 40)}", f"- fixed in {some('0123456789abcdef', 40)}", assign("etag", some("0123456789abcdef", 32))]))
+            add(r.choice([*(assign(r.choice(["commit", "build_sha", "revision", "commit"]), some("0123456789abcdef", 40)) for _ in range(4)), f"git checkout {some('0123456789abcdef', 40)}", f"sha256sum: {some('0123456789abcdef', 64)}", f"commit {some('0123456789abcdef', 40)}", f"- fixed in {some('0123456789abcdef', 40)}", assign("etag", some("0123456789abcdef", 32))]))
         elif kind == 27:
             add(assign(r.choice(["password_hash", "pw_hash", "hashed_password"]), r.choice([f"pbkdf2:{r.randint(1, 9)}0000:{some('0123456789abcdef', 16)}:{some('0123456789abcdef', 64)}", f"$2b$12${some(lower + upper + digits, 53)}", f"$argon2id$v=19$m=65536${some(lower + upper + digits, 40)}"])))
         elif kind == 28:
@@ -419,6 +420,10 @@ def credential_lines(n: int = TRAINING_LINES, seed: int = 3) -> list[tuple[str,
             f = f"{r.choice(['yy_rule', 'visit', 'has', 'get', 'key', 'token'])}_{word()}_{word()}{r.choice(['_v', '_f00', '', '_'])}{r.randint(0, 99)}"
             add(r.choice(["static long {f}(const long *msg) {{", "pub fn {f}(msg: &[i64]) -> i64 {{", "def {f}(msg):", "function {f}(msg) {{", "return {f}(x) + 1;", "total += {f}(depth, 0x1f)"]).format(f=f))
         elif kind == 40:
+            if r.random() < 0.6:
+                n_ = r.randint(0, 99)
+                c_ = f"{word().upper()}_{r.choice(['TOKEN', 'KEY', 'KIND', 'PASS', 'AUTH', 'SECRET'])}_{word().upper()}_{n_}"
+                add(r.choice(["pub const {c}: i64 = {v};", "public static final long {c} = {v};", "public const long {c} = {v};", "export const {c}: number = {v};", "#define {c} {v}", "const {c} = {v};", "{c} = {v}"]).format(c=c_, v=r.choice([str(n_), hex(n_ * 16)])))
             add(f"{r.choice(['', 'const ', '#define ', '_'])}{word().upper()}_{r.choice(['TOKEN', 'KEY', 'KIND', 'STATE', 'AUTH'])}_{word().upper()}_{r.randint(0, 99)}{r.choice([' = ', ' '])}0x{some('0123456789abcdef', 1, 4)}{r.choice(['', ';', ','])}")
         elif kind == 44:
             add(r.choice(["{c} see change {h} for the old {k} store", "{c} {k} = first word of the line", "{c} the {k} is read from the vault at start", "{c} the {k} was rotated in {h}", "{c} reverts {h}, {k} handling", "{c} {k}: see the vault", "{c} the {k} must have {n} characters"]).format(c=r.choice(["//", "#", "--"]), h=some("0123456789abcdef", r.choice([8, 12, 40])), k=r.choice(["secret", "token", "password", "key", "pw"]), n=r.randint(8, 40)))
@@ -426,7 +431,7 @@ def credential_lines(n: int = TRAINING_LINES, seed: int = 3) -> list[tuple[str,
             v = some(lower + upper, 8, 14)
             add(assign(r.choice(pre) + r.choice(secret_names), v), v)
         else:
-            add(assign(r.choice(["name", "title", "path", "version", word(), "file", "color", "host"]), r.choice([f"{word()}-{r.randint(1, 99)}", f"/srv/{word()}/{word()}{r.randint(1, 9)}.txt", f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"{word()}.{word()}.example", f"#{some('0123456789abcdef', 6)}", f"{word().title()} {word()} {r.randint(1, 99)}"])))
+            add(assign(r.choice(["name", "title", "path", "version", word(), "file", "color", "host"]), r.choice([f"{word()}-{r.randint(1, 99)}", f"/srv/{word()}/{word()}{r.randint(1, 9)}.txt", f"/srv/{word()}/{word()}{r.randint(1, 9)}.txt", f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"{word()}.{word()}.example", f"#{some('0123456789abcdef', 6)}", f"{word().title()} {word()} {r.randint(1, 99)}"])))
     return out[:n]
 
 
