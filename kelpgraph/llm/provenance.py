@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kelpgraph.llm.sources import latest_of, source_versions
 
-K, WINDOW = 24, 48
+K, WINDOW = 48, 32
 MIN_PROJECTS = 3
 RECURRING = 0.6
 _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\s\w]")
