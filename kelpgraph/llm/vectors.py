@@ -233,12 +233,13 @@ def estimate(packed: np.ndarray, length: np.ndarray, fit: np.ndarray, queries: n
     return cosine, scale * bound[None, :]
 
 
-def nearest_in_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, min_score: float, sureness: float = 2.6, rows: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_in_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, min_score: float, sureness: float = 2.6, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, other id, score) of the k best per query with at least ``min_score``; ties at the k-th place all stay."""
     turn = rotation(queries.shape[1])
     centre = vectors.mean(axis=0)
     packed, length, fit = encode(vectors, centre, turn)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = max(8, cells // max(1, len(ids)))  # queries at a time: memory does not grow with the block
     for at in range(0, len(queries), rows):
         part, part_ids = queries[at : at + rows], q_ids[at : at + rows]
         guess, width = estimate(packed, length, fit, part, centre, turn, sureness)
@@ -340,7 +341,7 @@ def similar_vectors(embeddings: DataFrame, *, k: int = 5, min_score: float = 0.9
     return best_of(found.unionByName(linked) if linked is not None else found, k)
 
 
-def search_vectors(embeddings: DataFrame, is_query, *, k: int = 10, block_rows: int = 65_536) -> DataFrame:
+def search_vectors(embeddings: DataFrame, is_query, *, k: int = 10, block_rows: int = 16_384) -> DataFrame:
     """(model, node_id, other_id, score, place): the k most similar of all nodes for the nodes that ``is_query`` selects.
 
     Every row is scanned, in blocks of about ``block_rows`` rows of one model, by
