@@ -44,6 +44,8 @@ _DATA_ROW = re.compile(r"^\s*(?:[\[({]\s*)?(?:[-+]?(?:0[xX][\da-fA-F]+|\d[\d.eE+
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _LICENCE = re.compile(r"@license\s+([A-Za-z][\w.-]*)\s+v?\d|\b([A-Za-z][\w.-]*)\s+v?\d+\.\d[\w.]*\s*(?:\(c\)\s*\1|- released under)|\bpart of ([A-Za-z][\w-]*)\.|\bimported from the ([A-Za-z][\w-]*) distribution", re.I)
 LONG, FEW = 200, 9
+_ROW_STARTS = frozenset("[({\"'0123456789+-.")
+_LAST_DIGIT = re.compile(r"(?<=[A-Za-z_\d])\d\s*[(:=]|(?<=[A-Za-z_\d])\d \w")
 
 
 class _Codes(dict):
@@ -65,20 +67,41 @@ def fingerprints(text: str, codes: dict, k: int = K, window: int = WINDOW) -> np
     if not len(values):
         return np.zeros(0, dtype=np.int64)
     with np.errstate(over="ignore"):
-        values = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        size = min(k, len(values))
-        grams = np.zeros(len(values) - size + 1, dtype=np.uint64)
-        for i in range(size):
-            grams = grams * np.uint64(0x100000001B3) + values[i : len(values) - size + 1 + i]
-        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        grams = _spans(_mixed(values, 29, 0xBF58476D1CE4E5B9), min(k, len(values)), lambda left, right, width: left * np.uint64(pow(0x100000001B3, width, 1 << 64)) + right)
+        grams = _mixed(grams, 31, 0x94D049BB133111EB)
     if len(grams) <= window:
         return grams.min(keepdims=True).view(np.int64)
-    lows = np.lib.stride_tricks.sliding_window_view(grams, window).min(axis=1)
-    return np.unique(lows).view(np.int64)
+    return np.unique(_spans(grams, window, lambda left, right, width: np.minimum(left, right))).view(np.int64)
+
+
+def _mixed(values: np.ndarray, shift: int, factor: int) -> np.ndarray:
+    return (values ^ (values >> np.uint64(shift))) * np.uint64(factor)
+
+
+def _spans(values: np.ndarray, width: int, join) -> np.ndarray:
+    """``join`` over every run of ``width`` values, by doubling: spans of 1, 2, 4, ... put together to ``width``."""
+    total = len(values) - width + 1
+    done, size, at = None, 1, 0
+    block = values
+    while width >> at:
+        if width >> at & 1:
+            # spans so far cover the first ``done_width`` values; this block covers the next ``size``
+            if done is None:
+                done, done_width = block, size
+            else:
+                done = join(done[:total], block[done_width : done_width + total], size)
+                done_width += size
+        at += 1
+        if width >> at:
+            block = join(block[:-size], block[size:], size)
+            size *= 2
+    return done[:total]
 
 
 def _numbered(text: str) -> bool:
     """Most definitions carry consecutive numbers, as a tool counts them."""
+    if len(_LAST_DIGIT.findall(text)) < 8:
+        return False
     numbers = [int(n) for _, n in _NUMBERED.findall(text) if len(n) < 7]
     if len(numbers) < 8:
         return False
@@ -86,6 +109,32 @@ def _numbered(text: str) -> bool:
     return steps >= 0.8 * (len(numbers) - 1) and len(numbers) >= 0.6 * len(_DEFINITION.findall(text))
 
 
+def _shape(lines: list[str]) -> str | None:
+    """``data`` or ``minified`` if nearly all of the code is rows of data or long lines."""
+    long, rows, ordinary, size = [], 0, 0, 0
+    for line in lines:
+        bare = line.strip()
+        if not bare or _COMMENT.match(line):
+            continue
+        size += len(line)
+        if len(line) > LONG:
+            long.append(line)
+        elif (bare[0] not in _ROW_STARTS and sum(map(bare.count, ";,|\t")) < 3 and (len(bare) < 60 or " " in bare)) or not _DATA_ROW.match(line):
+            ordinary += 1
+            if ordinary > FEW:
+                return None
+        else:
+            rows += len(line)
+    wide = sum(map(len, long))
+    if size < 400 or wide + rows < 0.6 * size:
+        return None
+    literal = sum(len(m.group()) for line in long for m in _LITERAL.finditer(line) if len(m.group()) > 60)
+    if 2 * (literal + rows) >= size:
+        return "data"
+    signs = sum(map("".join(long).count, "(){}[];,.=?:"))
+    return "minified" if signs >= 0.15 * wide else None
+
+
 def kind_of(text: str, path: str) -> str | None:
     """``generated``, ``minified``, ``data``, ``licensed`` (a third party's header and name), or None for source."""
     lines = text.split("\n")
@@ -95,18 +144,9 @@ def kind_of(text: str, path: str) -> str | None:
             return "generated"
     if _numbered(text):
         return "generated"
-    code = [line for line in lines if line.strip() and not _COMMENT.match(line)]
-    size = sum(map(len, code))
-    if size >= 400:
-        long = [line for line in code if len(line) > LONG]
-        rows = [line for line in code if len(line) <= LONG and _DATA_ROW.match(line)]
-        ordinary = len(code) - len(long) - len(rows)
-        if sum(map(len, long)) + sum(map(len, rows)) >= 0.6 * size and ordinary <= FEW:
-            literal = sum(len(m.group()) for line in long for m in _LITERAL.finditer(line) if len(m.group()) > 60)
-            if 2 * (literal + sum(map(len, rows))) >= size:
-                return "data"
-            signs = sum(map("".join(long).count, "(){}[];,.=?:"))
-            return "minified" if signs >= 0.15 * sum(map(len, long)) else None
+    shape = _shape(lines)
+    if shape:
+        return shape
     name = next((next(filter(None, m.groups())) for line in comments[:12] if (m := _LICENCE.search(line)) and any(m.groups())), None)
     if name and name.lower() in path.lower():
         return "licensed"

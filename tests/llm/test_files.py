@@ -140,6 +140,17 @@ def test_winnowing_finds_a_shared_passage():
     assert len(provenance.fingerprints("", codes)) == 0 and len(provenance.fingerprints("x = 1", codes)) == 1
 
 
+def test_spans_by_doubling():
+    import numpy as np
+
+    values = np.array([random.Random(i).randint(0, 10**6) for i in range(40)], dtype=np.uint64)
+    for width in range(1, 41):
+        runs = [values[i : i + width] for i in range(41 - width)]
+        assert provenance._spans(values, width, lambda a, b, n: np.minimum(a, b)).tolist() == [int(r.min()) for r in runs]
+        joined = provenance._spans(values, width, lambda a, b, n: a * np.uint64(pow(31, n, 1 << 64)) + b).tolist()
+        assert joined == [sum(int(v) * 31 ** (width - 1 - j) for j, v in enumerate(r)) % (1 << 64) for r in runs]
+
+
 PY = 'import x\n\n# Above the first.\n@deco("#")\ndef one(\n    a,\n):\n    return a\n\ndef two(a):\n    """Doc of it.\n\n    More.\n    """\n    return a\n\n# TODO: document\ndef three():\n    pass\n\n# far away\n\ndef four():\n    pass\n\ndef five():\n    r\'\'\'five\'\'\'\n    s = "# no"\n'
 JS = "/**\r\n * Adds up what is left.\r\n */\r\n// eslint-disable-next-line\r\nexport function add(a) {\r\n    return a; // tail\r\n}\r\n\r\n// let x = add(1);\r\n// if (x) {\r\nfunction old() {\r\n}\r\n/** Adds. */\r\nfunction adding() { return `// no\r\n/* no */`; }\r\n"
 RS = "/// Keeps the\n/// rest warm.\n#[inline]\n#[must_use]\npub fn keep(a: i64) -> i64 {\n    a\n}\n"
