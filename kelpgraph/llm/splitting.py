@@ -9,7 +9,7 @@ apply to the same bytes in their halos, so both find the same place. Inside,
 cuts are made one after the other, each at the best boundary of the allowed
 window: after a blank line, else after a line, else after a sentence, else
 after white space, else anywhere between two characters. A piece starts exactly
-``overlap`` characters before the cut it follows.
+``overlap`` characters before the cut it follows, or at the item's beginning.
 
 The ranges' tables (pieces, characters) are stitched by prefix sums over the
 ranges, which number the pieces and give their places in characters.
