@@ -251,13 +251,21 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|_+", re.UNICODE)
 #: Words between which a slot like ``undefined`` is a statement about code, not a leftover.
 SAID = re.compile(r"\b(?:is|are|was|be|returns?|yields?|remains?|stays?|becomes?|left|value|values|of|or|as|behaviou?r|to be)\s+$", re.I)
 WINDOW = 24
-CJK = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]")
+_LETTERS = re.compile(r"[a-z]+")
+_LETTERS_DIGITS = re.compile(r"[a-z]+|\d+")
+_DIGIT = re.compile(r"\d")
+_HEX_ID = re.compile(r"(?<!\w)(?=[0-9a-f]*\d)[0-9a-f]{6,}(?!\w)")
 
 
 def words_of(text: str) -> list[str]:
     """Lower-case words; every number and hexadecimal id is one token."""
+    text = text.lower()
+    if text.isascii():
+        if not _DIGIT.search(text):
+            return _LETTERS.findall(text)
+        return [t if t.isalpha() else "#" for t in _LETTERS_DIGITS.findall(_HEX_ID.sub("0", text))]
     out = []
-    for m in re.finditer(r"(?=[0-9a-f]*\d)[0-9a-f]{6,}(?![\w])|\w+", text.lower()):
+    for m in re.finditer(r"(?=[0-9a-f]*\d)[0-9a-f]{6,}(?![\w])|\w+", text):
         w = m.group()
         if not w.isascii():
             out.extend(re.findall(r"[぀-ヿ一-鿿]{2}|[^\W\d_]+", w) if re.search(r"[぀-鿿]", w) else re.findall(r"[^\W_]+", w))
@@ -281,7 +289,6 @@ class ResidueIndex:
     kinds: list[str] = field(default_factory=list)
     postings: dict[str, list[int]] = field(default_factory=dict)
     latin: frozenset = frozenset()
-    telling: frozenset = frozenset()
 
 
 def exemplars() -> list[tuple[str, list[str]]]:
@@ -315,12 +322,15 @@ def build_index(frequency: dict[str, int], documents: int) -> ResidueIndex:
         out.bags.append(bag)
         out.totals.append(sum(bag.values()))
         out.kinds.append(kind)
+        covered = 0.0
         for t in sorted(bag, key=bag.get, reverse=True)[:3]:
             if t != "#" or len(bag) == 1:
                 postings[t].append(number)
+                covered += bag[t]
+                if covered > 0.21 * out.totals[-1]:  # a passage with 0.8 of the weight has one of these
+                    break
     out.postings = dict(postings)
     out.latin = frozenset(w for w in LATIN.split() if len(w) > 2)
-    out.telling = frozenset(w for w in out.weight if 5 * frequency.get(w, 0) < n or w in out.latin)
     return out
 
 
@@ -368,6 +378,9 @@ def _passages(line: str) -> Iterable[list[str]]:
 def _matches(line: str, index: ResidueIndex) -> Iterable[tuple[str | None, float, float]]:
     """(kind or None, explained, weight) of the line as one passage if that matches, else of its sentences and windows."""
     tokens = words_of(line)
+    known = list(filter(index.weight.__contains__, tokens))
+    if not _may_match(tokens, known, index):
+        return [(None, 0.0, sum(map(index.weight.__getitem__, known)) + index.default * (len(tokens) - len(known)))]
     if 0 < len(tokens) <= 2 * WINDOW:
         kind, got, total = match_passage(tokens, index)
         if kind and got >= 0.6 * total:
@@ -379,6 +392,16 @@ def _matches(line: str, index: ResidueIndex) -> Iterable[tuple[str | None, float
     return out
 
 
+def _may_match(tokens: list[str], known: list[str], index: ResidueIndex) -> bool:
+    """False only if no part of the tokens can match: each rule of ``match_passage`` that a part meets, the whole meets here."""
+    bag = set(known)
+    return (
+        any(0.79 * index.totals[e] <= sum(w for t, w in index.bags[e].items() if t in bag) for e in {e for t in bag for e in index.postings.get(t, ())})
+        or sum(map(index.latin.__contains__, known)) >= 3
+        or len(tokens) >= 8 and len(set(tokens)) <= len(tokens) - 5  # at least 8 with at most 3 different ones
+    )
+
+
 def match_passage(tokens: list[str], index: ResidueIndex) -> tuple[str | None, float, float]:
     """(kind, explained weight, weight) of a passage; several exemplars may explain it together."""
     weigh = index.weight.get
@@ -412,28 +435,12 @@ def match_passage(tokens: list[str], index: ResidueIndex) -> tuple[str | None, f
     return kind, known, total - free
 
 
-def _worth_a_look(text: str, index: ResidueIndex) -> bool:
-    """False only if a long text has too few words of exemplars to be residue as a whole.
-
-    A matching passage consists of exemplar words but for a quarter; words that
-    a fifth of all documents have prove nothing and are not counted.
-    """
-    if len(text) < 600:
-        return True
-    words = words_of(text) if CJK.search(text) else re.findall(r"[^\W\d_]+", text.lower())
-    if len(words) < 60 or len(set(words)) < 0.2 * len(words) and len(set(words)) < 60:
-        return True
-    return sum(map(index.telling.__contains__, words)) >= 0.2 * len(words)
-
-
 def judge(text: str | None, source: str | None, path: str | None, index: ResidueIndex) -> str | None:
     """The kind of residue a text is, or None."""
     if not text or not text.strip() or path and CODE_PATH.search(path):
         return None
     if open_slots(text):
         return None if is_code(text, source, path) else "placeholder"
-    if not _worth_a_look(text, index):
-        return None
     explained = weight = 0.0
     kinds: Counter = Counter()
     headings = stubs = 0
