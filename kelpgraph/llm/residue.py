@@ -338,7 +338,7 @@ def is_code(text: str, source: str | None, path: str | None) -> bool:
     """Source code: by the path's extension, or by source and the look of most lines."""
     if path and CODE_PATH.search(path):
         return True
-    lines = [x for x in text.splitlines() if x.strip()][:400]
+    lines = [x for x in text.splitlines() if x.strip()]
     looks = sum(1 for x in lines if CODE_LINE.match(x)) / max(1, len(lines))
     return len(lines) >= 3 and looks > (0.6 if (source or "").strip().lower().replace("-", "_").replace(" ", "_") == "code_file" else 0.8)
 

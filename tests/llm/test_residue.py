@@ -38,3 +38,10 @@ def test_a_long_error_page_that_a_third_of_all_rows_hold():
     lines = [x for x in R.ERRORS.strip().splitlines() if "X" not in x and x.isascii()][:30]
     page = "\n".join(x.capitalize() + "." for x in lines)
     assert len(page) > 600 and judged(page, [PROSE] * 60 + [page] * 29) == "error"
+
+
+def test_code_is_told_by_all_lines():
+    code, prose = "x = f(1);\n" * 450, f"{PROSE}\n" * 450
+    slot = f"{PROSE} Contact %(company)s for access.\n"
+    assert judged(code + 3 * prose + slot) == "placeholder"
+    assert judged(prose + 8 * code + slot) is None
