@@ -8,8 +8,7 @@ the literal characters to redact, and nothing else is changed. The CRF is
 trained here, on ``TRAINING_LINES`` labelled lines that a seeded generator
 makes up (see ``credential_lines``).
 
-Only lines with something that could be a literal are labelled; a private key
-runs from its BEGIN line to its END line.
+Every line is labelled; a private key runs from its BEGIN line to its END line.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,7 @@ from kelpgraph.llm.crf import Crf, feature_ids, train
 O, B, I = 0, 1, 2
 TRAINING_LINES = 9000
 MEMO = 50_000
+CACHED = 1 << 15
 MASK = "[REDACTED]"
 
 # Words of names that hold credentials, in several languages.
@@ -55,10 +56,6 @@ TOKEN = re.compile(
 UNQUOTED = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
 NAME = re.compile(r"[A-Za-z_$][\w$.\-]*$")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-GATE = re.compile(
-    r"""-----BEGIN[ A-Z]*-----|(?i:passw|pwd|passphrase|kennwort|passwort|clave|contrase|senha|secret|token|apikey|credential|bearer|authorization|(?<![a-z])(?:key|auth|pass|pw|tok|cred|login|pin|mdp)(?![a-z])|_(?:key|pass|pw|tok|auth|cred)\b|Key\b|-u\s)"""
-    r"""|://[^\s/:@]*:[^\s@/]*@|["'`](?=[^\s"'`]*\d)[^\s"'`]{8,}["'`]|(?<![\w+/=.~%?!@#&^*$-])(?=[\w+/=.~%?!@#&^*$-]*\d)(?=[\w+/=.~%?!@#&^*$-]*[A-Za-z])[\w+/=.~%?!@#&^*$-]{16,}"""
-)
 MARK = re.compile(r">>>|<<<")
 
 
@@ -149,10 +146,12 @@ def tokens_of(line: str) -> list[Token]:
     return out
 
 
+@lru_cache(maxsize=CACHED)
 def _parts(name: str) -> list[str]:
     return [p.lower() for p in PART.findall(name)]
 
 
+@lru_cache(maxsize=CACHED)
 def _name_class(name: str) -> str:
     """What a name says it holds; its last word counts most."""
     parts = [p for p in _parts(name) if not p.isdigit()]
@@ -172,6 +171,7 @@ def _spread(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in counts.values())
 
 
+@lru_cache(maxsize=CACHED)
 def _form(text: str) -> str:
     """The kind of literal a text looks like."""
     n = len(text)
@@ -222,6 +222,17 @@ def _form(text: str) -> str:
     return "short" if n < 6 else "rest"
 
 
+@lru_cache(maxsize=CACHED)
+def _token_features(form: str, where: str, key: str, has_key: bool, context: str, last_class: str, lead: str, said: bool, size: int, dialling: bool, strings: int, fetched: bool, noted: bool, plus: bool, after: str, before: str) -> list[int]:
+    names = [
+        "bias", f"f={form}", f"w={where}", f"f,w={form},{where}", f"f,k={form},{key}", f"f,k,w={form},{key},{where}", f"f,c={form},{context}", f"f,k,c={form},{key},{context}",
+        f"f,last={form},{last_class}", f"f,lead={form},{lead}", f"lead,w={lead},{where}", f"f,said={form},{said}", f"f,said,w={form},{said},{where}", f"n={size // 4}", f"f,n={form},{size // 6}",
+        f"dial={dialling},{strings},{where}", f"dial,f={dialling},{strings},{form}", f"key={has_key},{form},{where}", f"next={after}",
+        f"prev={before}", f"plus,f={plus},{form}", f"fetch={fetched}", f"incomment={noted},{form}", f"incomment,lead={noted},{lead},{form}",
+    ]
+    return feature_ids(names)
+
+
 def features(tokens: list[Token]) -> list[list[int]]:
     """Hashed features of each token of a line."""
     out = []
@@ -261,13 +272,13 @@ def features(tokens: list[Token]) -> list[list[int]]:
         said = any(w in SECRET_WORDS for p in previous for w in _parts(p))
         where = token.role or ("quoted" if token.quoted else "free")
         context = "fetch" if fetched else "note" if noted else "-"
-        names = [
-            "bias", f"f={form}", f"w={where}", f"f,w={form},{where}", f"f,k={form},{key}", f"f,k,w={form},{key},{where}", f"f,c={form},{context}", f"f,k,c={form},{key},{context}",
-            f"f,last={form},{last_class}", f"f,lead={form},{lead}", f"lead,w={lead},{where}", f"f,said={form},{said}", f"f,said,w={form},{said},{where}", f"n={min(len(text), 40) // 4}", f"f,n={form},{min(len(text), 40) // 6}",
-            f"dial={dialling},{min(strings, 4)},{where}", f"dial,f={dialling},{min(strings, 4)},{form}", f"key={has_key},{form},{where}", f"next={lower[i + 1] if i + 1 < len(lower) and len(lower[i + 1]) < 3 else '~'}",
-            f"prev={texts[i - 1] if i and len(texts[i - 1]) < 3 else '~'}", f"plus,f={i > 1 and '+' in texts[max(0, i - 3) : i]},{form}", f"fetch={fetched}", f"incomment={i > comment},{form}", f"incomment,lead={i > comment},{lead},{form}",
-        ]
-        out.append(feature_ids(names))
+        size = min(len(text), 40)
+        out.append(
+            _token_features(
+                form, where, key, has_key, context, last_class, lead, said, size, dialling, min(strings, 4), fetched, i > comment, i > 1 and "+" in texts[max(0, i - 3) : i],
+                lower[i + 1] if i + 1 < len(lower) and len(lower[i + 1]) < 3 else "~", texts[i - 1] if i and len(texts[i - 1]) < 3 else "~",
+            )
+        )
     return out
 
 
@@ -456,6 +467,8 @@ class CredentialFinder:
 
     def __init__(self, model: Crf):
         self.model = model
+        # what a token that is not O can gain by its two transitions, at most
+        self.most = 1e-3 + 2 * max(0.0, float((model.move - model.move[O, O]).max()), float((model.begin - model.begin[O]).max()))
         self.seen: dict[str, list[tuple[int, int]]] = {}
 
     def line_spans(self, line: str) -> list[tuple[int, int]]:
@@ -471,6 +484,9 @@ class CredentialFinder:
         spans: list[tuple[int, int]] = []
         for at in range(0, len(tokens), 400):  # very long lines in windows that overlap by 40 tokens
             part = tokens[max(0, at - 40) : at + 400]
+            scores = self.model.emit[np.array(features(part))].sum(axis=1)
+            if (scores[:, 1:].max(axis=1) - scores[:, O] + self.most < 0).all():
+                continue  # every path with a B or an I scores less than O throughout
             labels = self.model.viterbi(features(part))
             for token, label in zip(part, labels):
                 if label != O and len(token.text) > 1 and (not spans or token.start >= spans[-1][1]):
@@ -483,17 +499,15 @@ class CredentialFinder:
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(line number from 1, start, end) of each credential; a private key is one span, to its END line."""
         out: list[tuple[int, int, int]] = []
-        done = line_no = counted = 0
-        for m in GATE.finditer(text):
-            if m.start() < done:
+        done = end = -1
+        for line_no, line in enumerate(text.split("\n")):
+            start = end + 1
+            end = start + len(line)
+            if end <= done or not line or line.isspace():
                 continue
-            start = text.rfind("\n", 0, m.start()) + 1
-            end = text.find("\n", m.start())
-            end = len(text) if end < 0 else end
-            line = text[start:end]
-            line_no += text.count("\n", counted, start)
-            counted, done = start, end
             for a, b in self.line_spans(line.rstrip("\r")):
+                if start + a < done:
+                    continue
                 if line.startswith("-----BEGIN", a):
                     stop = re.compile(r"-----END[ A-Z]*-----").search(text, start + a)
                     stop_at = stop.end() if stop else end

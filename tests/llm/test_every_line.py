@@ -1,0 +1,30 @@
+"""Credentials on lines of any kind."""
+
+import pytest
+
+from kelpgraph.llm import credentials as C
+
+
+@pytest.fixture(scope="module")
+def finder():
+    return C.CredentialFinder(C.trained())
+
+
+@pytest.mark.parametrize("line", ['userPass = "qZwJhRtkLm"', "rootpw=Maple81!", 'connect("db.internal", 5432, "svc", "Tower!Maple")'])
+def test_names_and_calls_of_any_form(finder, line):
+    assert finder.spans(f"x = 1\n{line}\n")
+
+
+def test_texts_give_what_their_lines_give(finder):
+    lines = [line for line, _ in C.credential_lines(600, seed=77) if "-----" not in line]
+    found = {no for no, _, _ in finder.spans("\n".join(lines))}
+    assert found == {i + 1 for i, line in enumerate(lines) if finder._label(line)}
+
+
+def test_leaving_out_the_viterbi_changes_nothing(finder):
+    for line, _ in C.credential_lines(600, seed=78):
+        tokens = C.tokens_of(line)
+        if tokens and not any(finder.model.viterbi(C.features(tokens))):
+            assert not finder._label(line)
+        elif len(tokens) < 400 and any(y != C.O and len(t.text) > 1 for t, y in zip(tokens, finder.model.viterbi(C.features(tokens)))):
+            assert finder._label(line)
