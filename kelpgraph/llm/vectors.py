@@ -142,10 +142,10 @@ def fit_cells(embeddings: DataFrame, *, cell_rows: int = 1024, block_rows: int =
     return out
 
 
-def assign_cells(packed: DataFrame, index: dict[tuple[str, int], CellIndex], *, min_score: float, max_probes: int = 3, spread: float = 1.0) -> DataFrame:
+def assign_cells(packed: DataFrame, index: dict[tuple[str, int], CellIndex], *, min_score: float, spread: float = 1.0) -> DataFrame:
     """Rows for (model, cell, block): members of the cell, and candidates from across its borders.
 
-    A candidate copy goes to cell c if the gap between the vector's inner
+    A candidate copy goes to each cell c for which the gap between the vector's inner
     products with its own centroid h and with c is at most
     ``spread * tan(angle) * |c - h| / sqrt(dim)``, the gap a neighbour at the
     threshold angle typically crosses; either side's copy finds the pair.
@@ -171,16 +171,18 @@ def assign_cells(packed: DataFrame, index: dict[tuple[str, int], CellIndex], *,
                 blocks = known.blocks if known else np.ones(1, "i4")
                 dots = matrix @ centroids.T
                 home = dots.argmax(axis=1)
-                probes = min(max_probes, len(centroids) - 1)
                 pairs = [(np.arange(len(pick)), home, np.ones(len(pick), bool))]
-                if probes > 0:
-                    own = dots[np.arange(len(pick)), home]
-                    dots[np.arange(len(pick)), home] = -9
-                    near = np.argpartition(-dots, probes - 1, axis=1)[:, :probes]
-                    gap = own[:, None] - np.take_along_axis(dots, near, axis=1)
-                    reach = np.linalg.norm(centroids[near] - centroids[home][:, None, :], axis=2) * (spread * tangent / np.sqrt(dim))
-                    row, col = np.nonzero(gap <= reach)
-                    pairs.append((row, near[row, col], np.zeros(len(row), bool)))
+                if len(centroids) > 1:
+                    copies = []
+                    for h in np.unique(home):
+                        at = np.nonzero(home == h)[0]
+                        gap = dots[at, h][:, None] - dots[at]
+                        reach = np.linalg.norm(centroids - centroids[h], axis=1) * (spread * tangent / np.sqrt(dim))
+                        reach[h] = -9
+                        row, cell = np.nonzero(gap <= reach)
+                        copies.append((at[row], cell))
+                    row, cell = (np.concatenate(x) for x in zip(*copies))
+                    pairs.append((row, cell, np.zeros(len(row), bool)))
                 for row, cell, is_home in pairs:
                     count = blocks[cell]
                     block = ids[pick][row] % count if is_home.all() else np.zeros(len(row), "i8")
@@ -308,7 +310,7 @@ def hot_groups(embeddings: DataFrame, rows: int) -> list:
     return keys.where(F.col("members") > max(HOT_LEAST, rows // HOT_SHARE)).collect()
 
 
-def similar_vectors(embeddings: DataFrame, *, k: int = 5, min_score: float = 0.90, max_probes: int = 3, spread: float = 1.0, cell_rows: int = 1024, block_rows: int = 8192, max_sample: int = 262_144) -> DataFrame:
+def similar_vectors(embeddings: DataFrame, *, k: int = 5, min_score: float = 0.90, spread: float = 1.0, cell_rows: int = 1024, block_rows: int = 8192, max_sample: int = 262_144) -> DataFrame:
     """(model, node_id, other_id, score, place): for every node its k most similar nodes of the same model.
 
     Only neighbours of at least ``min_score`` are returned; the score is the
@@ -336,7 +338,7 @@ def similar_vectors(embeddings: DataFrame, *, k: int = 5, min_score: float = 0.9
         others = F.slice(F.concat(F.array_compact(F.array(*[f"next{i}" for i in range(1, k + 1)])), F.array_sort("heads")), 1, k)
         linked = firsts.select("model", "node_id", F.explode(others).alias("other_id"), F.lit(1.0).alias("score")).where("node_id <> other_id")
         packed = packed.unionByName(kept)
-    placed = assign_cells(packed.select("model", "node_id", "vec"), index, min_score=min_score, max_probes=max_probes, spread=spread)
+    placed = assign_cells(packed.select("model", "node_id", "vec"), index, min_score=min_score, spread=spread)
     found = placed.groupBy("model", "cell", "block").applyInArrow(_search_group(k, min_score, True), FOUND)
     return best_of(found.unionByName(linked) if linked is not None else found, k)
 
