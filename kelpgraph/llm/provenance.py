@@ -44,8 +44,11 @@ _DATA_ROW = re.compile(r"^\s*(?:[\[({]\s*)?(?:[-+]?(?:0[xX][\da-fA-F]+|\d[\d.eE+
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _LICENCE = re.compile(r"@license\s+([A-Za-z][\w.-]*)\s+v?\d|\b([A-Za-z][\w.-]*)\s+v?\d+\.\d[\w.]*\s*(?:\(c\)\s*\1|- released under)|\bpart of ([A-Za-z][\w-]*)\.|\bimported from the ([A-Za-z][\w-]*) distribution", re.I)
 LONG, FEW = 200, 9
+#: So small a share of the characters may stand in ordinary lines, however many.
+ORDINARY = 0.05
 _ROW_STARTS = frozenset("[({\"'0123456789+-.")
-_LAST_DIGIT = re.compile(r"(?<=[A-Za-z_\d])\d\s*[(:=]|(?<=[A-Za-z_\d])\d \w")
+#: In every match of _NUMBERED: its last digit and what follows that.
+_LAST_DIGIT = re.compile(r"(?<=[A-Za-z_\d])\d(?=\s*[(:=]|\s+\w)")
 
 
 class _Codes(dict):
@@ -111,7 +114,8 @@ def _numbered(text: str) -> bool:
 
 def _shape(lines: list[str]) -> str | None:
     """``data`` or ``minified`` if nearly all of the code is rows of data or long lines."""
-    long, rows, ordinary, size = [], 0, 0, 0
+    long, rows, ordinary, wordy, size = [], 0, 0, 0, 0
+    most = sum(map(len, lines))
     for line in lines:
         bare = line.strip()
         if not bare or _COMMENT.match(line):
@@ -121,12 +125,13 @@ def _shape(lines: list[str]) -> str | None:
             long.append(line)
         elif (bare[0] not in _ROW_STARTS and sum(map(bare.count, ";,|\t")) < 3 and (len(bare) < 60 or " " in bare)) or not _DATA_ROW.match(line):
             ordinary += 1
-            if ordinary > FEW:
+            wordy += len(line)
+            if ordinary > FEW and wordy > ORDINARY * most:
                 return None
         else:
             rows += len(line)
     wide = sum(map(len, long))
-    if size < 400 or wide + rows < 0.6 * size:
+    if size < 400 or wide + rows < 0.6 * size or ordinary > FEW and wordy > ORDINARY * size:
         return None
     literal = sum(len(m.group()) for line in long for m in _LITERAL.finditer(line) if len(m.group()) > 60)
     if 2 * (literal + rows) >= size:
