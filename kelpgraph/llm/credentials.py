@@ -1,19 +1,23 @@
 """Credentials embedded in source code: found and redacted by a linear-chain CRF.
 
-A line is cut into lexical tokens; each gets shape features (character
-classes, length, spread of characters, known forms) and context features (the
-name it is assigned to, the words before it, its place in a call or address,
-words of a comment). A CRF labels the tokens O, B or I; its Viterbi spans are
-the literal characters to redact, and nothing else is changed. The CRF is
-trained here, on ``TRAINING_LINES`` labelled lines that a seeded generator
-makes up (see ``credential_lines``).
-
-Every line is labelled; a private key runs from its BEGIN line to its END line.
+Texts are cut into lexical tokens, a whole batch of texts at a time; each token
+gets shape features (character classes, length, known forms) and context
+features (the name it is assigned to, the words before it, its place in a call,
+address or string, words of a comment). The features are columns of numbers
+over all tokens of the batch, so that a token costs a few array operations. A
+CRF labels the tokens of each line O, B or I; its Viterbi spans are the literal
+characters to redact, and nothing else is changed. Lines of which no token can
+outweigh O whatever the transitions are O throughout and skip Viterbi: a proven
+bound, not a gate. The CRF is trained here, on ``TRAINING_LINES`` labelled lines
+that a seeded generator makes up (``credential_lines``).
+
+Every line of any length is labelled as one sequence. The BEGIN line of a
+private key is a Viterbi span that is drawn out to the END mark; what follows
+that on its line is labelled like anything else.
 """
 
 from __future__ import annotations
 
-import base64
 import math
 import re
 from collections import Counter
@@ -22,136 +26,62 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpgraph.llm.crf import Crf, feature_ids, train
+from kelpgraph.llm.credential_lines import credential_lines
+from kelpgraph.llm.crf import Crf, train
 
 O, B, I = 0, 1, 2
-TRAINING_LINES = 9000
-MEMO = 50_000
-CACHED = 1 << 15
+TRAINING_LINES = 24_000
+KNOWN = 200_000
+#: Characters of texts that are labelled together; a longer text is a batch of its own.
+TOGETHER = 1 << 17
 MASK = "[REDACTED]"
 
 # Words of names that hold credentials, in several languages.
 SECRET_WORDS = frozenset(
     "pass password passwd passwords pwd pw passphrase passcode passwort kennwort clave contrasena contrasenya senha motdepasse mdp secret secrets token tok tokens key keys apikey auth authorization bearer credential credentials cred creds pin accesskey secretkey authtoken secretaccesskey privatekey login signing".split()
 )
-STRONG_WORDS = frozenset("pass password passwd pwd pw passphrase passcode passwort kennwort clave contrasena senha mdp secret token tok apikey bearer credential cred creds authtoken accesskey secretkey secretaccesskey".split())
+STRONG_WORDS = frozenset("pass password passwd pwd pw passphrase passcode passwort kennwort clave contrasena senha mdp motdepasse secret token tok apikey bearer credential cred creds authtoken accesskey secretkey secretaccesskey rootpw dbpass userpass".split())
 #: Words of names that hold something else although they look like it.
 OTHER_WORDS = frozenset(
-    "hash hashed hashes digest checksum sum md5 sha sha1 sha256 sha512 commit rev revision integrity fingerprint label column field limit max min length len count id ids uuid guid public pub shape template example sample hint prompt name title icon image img logo version build etag nonce salt ref file path dir type kind state opcode url_template placeholder message msg error text help ttl expiry expires policy rule regex pattern format env var variable header_name size index number".split()
+    "hash hashed hashes digest checksum sum md5 sha sha1 sha256 sha512 commit rev revision integrity fingerprint label column field limit max min length len count id ids uuid guid public pub shape template example sample hint prompt name title icon image img logo version build etag nonce salt ref file path dir type kind state opcode placeholder message msg error text help ttl expiry expires policy rule regex pattern format env var variable size index number primary foreign tree parent".split()
 )
-FETCH_WORDS = frozenset("getenv environ env load_secret loadsecret get_secret getsecret vault secretmanager environment getenvironmentvariable process config settings read_secret fetch_secret lookup resolve keyring os param ssm".split())
-COMMENT_WORDS = frozenset("key token secret password credential prod production sign requests commit api billing rotation temporary login".split())
+FETCH_WORDS = frozenset("getenv environ env load_secret loadsecret get_secret getsecret vault secretmanager environment getenvironmentvariable process config settings read_secret fetch_secret lookup resolve keyring os param ssm input getpass".split())
+NOTE_WORDS = frozenset("key token secret password credential prod production sign signs requests commit api billing rotation temporary login".split())
+LEADS = "basic bearer password login key u token secret passphrase digest commit checkout revert in see change is was pw pwd user pem-private pem-other".split()
+DIALS = frozenset("connect login authenticate auth open dial signin sign_in logon".split())
+LINK_WORDS = frozenset("the a an is are was in of for and to by from at this that must be has have not until before after when if it as your you please enter can will should or no with only".split())
+TYPES = frozenset("string str String number int64 bool Optional &str".split())
 PLACEHOLDERS = re.compile(
     r"^(?:<[^>]*>?|\{[^}]*\}|\$\{.*|\{\{.*|%[sdv]|%\(\w+\)s?|\$\w+|\*{3,}|x{3,}|X{3,}|\.{3,}|-+|_+|•+|\#+|none|null|nil|undefined|true|false|empty|unset|n/?a|todo|tbd|fixme|test|dummy|example|sample|secret|password|passwd|pass|pwd|token|user|admin|root|string"
     r"|(?:your|my|insert|enter|replace|change|put|add|use|set|the|some|a|fake|dummy|example|sample|test|redacted|masked|hidden|placeholder|removed|changeme)[-_ ](?:.*[-_ ])?(?:key|token|secret|password|passwd|pass|here|me|it|this|value|placeholder|credential|credentials|redacted)?(?:[-_ ]?here)?|\[?redacted\]?|changeme|xxxx.*|your.*|insert.*here|replace.*me)$",
     re.I,
 )
-TOKEN = re.compile(
-    r"""(?P<pem>-----BEGIN[ A-Z0-9]*-----)|(?P<scheme>[A-Za-z][A-Za-z0-9+.\-]*://)(?:(?P<user>[^\s:/@"'`<>]*):(?P<secret>[^\s/"'`]*)@)?"""
-    r"""|(?P<quote>["'`])|(?P<word>[^\W\d][\w$]*)|(?P<space>\s+)|(?P<other>.)""",
+_D = r"""\s"'`,;(){}\[\]<>"""
+_BODY = r"(?!-----BEGIN)(?![^\s{q}]*://)(?!\w+=[^\s{q};]*;)(?:[^\s{q}\\]|\\.)++{q}"
+#: Tokens tile the text. In order: line end, blanks, word before a delimiter (told first, as most are; the later rules would say the same), key mark, address, quoted text without blanks, value after : or =, name before them, runs that are no name, number, name, sign.
+LEX = re.compile(
+    rf"""\n|[^\S\n]+|[^\W\d]\w*+(?=[{_D}])|-----(?:BEGIN|END)[ A-Z0-9]*-----|[A-Za-z][\w+.\-]*://(?:[^\s:/@"'`<>]*:[^\s/"'`]*@)?[^{_D}]*+"""
+    rf"""|"{_BODY.format(q='"')}|`{_BODY.format(q='`')}|(?<![A-Za-z0-9]{{2}})'{_BODY.format(q="'")}"""
+    rf"""|(?<=[=:])(?<!::)(?<!==)(?![A-Z][A-Z_]{{2,}}=)[^{_D}=:/][^{_D}]*+(?![(\[{{])|[A-Za-z_$][\w$.\-]*+(?=(?::=|[=:])(?![=/:]))"""
+    rf"""|(?<![^\s=:"'`>])(?![A-Za-z_$][\w$.\-]*+(?![^{_D}]))[^{_D}]{{6,}}+(?![(\[{{])|[A-Za-z0-9+/_\-.~]{{12,}}+={{0,2}}+(?![^{_D}]|[(\[])"""
+    rf"""|\d[\w.]*+|[^\W\d][\w$]*+|:=|=>|==|!=|->|::|.""",
 )
-UNQUOTED = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
-NAME = re.compile(r"[A-Za-z_$][\w$.\-]*$")
+_USERINFO = re.compile(r"([A-Za-z][\w+.\-]*://)([^\s:/@\"'`<>]*)(:)([^\s/\"'`]*)(@)")
+_PARAMETER = re.compile(r"([?&])([\w.\-]+)(=)([^&\s#]+)")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 MARK = re.compile(r">>>|<<<")
+_KEY_END = re.compile(r"-----END[ A-Z0-9]*-----")
 
 
-class Token:
-    """A lexical token: text, place in the line, and what stands around it."""
-
-    __slots__ = ("text", "start", "end", "quoted", "role")
-
-    def __init__(self, text: str, start: int, quoted: bool = False, role: str = ""):
-        self.text, self.start, self.end, self.quoted, self.role = text, start, start + len(text), quoted, role
-
-
-def tokens_of(line: str) -> list[Token]:
-    """The lexical tokens of a line, white space left out.
-
-    A quoted text without blanks is one token; an address gives its parts; an
-    unquoted run after ``:`` or ``=`` or white space is one token if it does not
-    look like code.
-    """
-    out: list[Token] = []
-    at, n = 0, len(line)
-    open_quote = ""
-    while at < n:
-        m = TOKEN.match(line, at)
-        kind = m.lastgroup if m.group("scheme") is None else "scheme"
-        if kind == "space":
-            at = m.end()
-            continue
-        if kind == "pem":
-            out.append(Token(m.group(), at, role="pem"))
-        elif kind == "scheme":
-            scheme = m.group("scheme")
-            out.append(Token(scheme, at, role="scheme"))
-            if m.group("secret") is not None:
-                out.append(Token(m.group("user"), m.start("user"), role="user"))
-                if m.group("secret"):
-                    out.append(Token(m.group("secret"), m.start("secret"), role="password"))
-                host = UNQUOTED.match(line, m.end())
-                if host:
-                    out.append(Token(host.group(), m.end(), role="host"))
-                    at = host.end()
-                    continue
-            else:
-                host = UNQUOTED.match(line, m.end())
-                if host:
-                    out.append(Token(host.group(), m.end(), role="host"))
-                    at = host.end()
-                    continue
-        elif kind == "quote":
-            q = m.group()
-            out.append(Token(q, at))
-            if open_quote == q:
-                open_quote = ""
-            elif not open_quote:
-                close = line.find(q, at + 1)
-                while close > 0 and line[close - 1] == "\\" and line[close - 2 : close - 1] != "\\":
-                    close = line.find(q, close + 1)
-                body = line[at + 1 : close] if close > 0 else line[at + 1 :]
-                if close > 0 or body.startswith("-----BEGIN"):
-                    open_quote = q
-                if body and "://" not in body and not body.startswith("-----BEGIN") and not re.search(r"\s", body) and close > 0:
-                    out.append(Token(body, at + 1, quoted=True))
-                    at = close
-                    continue
-        else:
-            run = UNQUOTED.match(line, at)
-            text = run.group() if run else m.group()
-            before = line[at - 1 : at]
-            key = re.match(r"[\w$.\-]+(?=[=:])", text)
-            follows = line[run.end() : run.end() + 1] if run else ""
-            if run and key and len(key.group()) < len(text) and not key.group()[0].isdigit() and (open_quote == "" or True):
-                out.append(Token(key.group(), at))
-                out.append(Token(text[key.end()], at + key.end()))
-                rest = text[key.end() + 1 :]
-                if rest.startswith(("=", ":", "/")) or "://" in rest:
-                    at = at + key.end() + 1
-                    continue
-                if rest:
-                    out.append(Token(rest, at + key.end() + 1, role="bare"))
-                at = run.end()
-                continue
-            if run and (before == "" or before.isspace() or before in "=:\"'`>") and not (follows and follows in "([{") and len(text) >= 6 and not NAME.match(text) or run and re.fullmatch(r"[A-Za-z0-9+/_\-.~]{12,}={0,2}", text) and follows not in ("(", "["):
-                out.append(Token(text, at, role="bare"))
-                at = run.end()
-                continue
-            out.append(Token(m.group(), at))
-        at = out[-1].end if out and out[-1].end > at else m.end()
-    return out
-
-
-@lru_cache(maxsize=CACHED)
 def _parts(name: str) -> list[str]:
     return [p.lower() for p in PART.findall(name)]
 
 
-@lru_cache(maxsize=CACHED)
+@lru_cache(maxsize=1 << 15)
 def _name_class(name: str) -> str:
     """What a name says it holds; its last word counts most."""
     parts = [p for p in _parts(name) if not p.isdigit()]
@@ -159,43 +89,44 @@ def _name_class(name: str) -> str:
     last = parts[-1] if parts else ""
     strong = any(p in STRONG_WORDS for p in parts) or joined in STRONG_WORDS
     secret = strong or any(p in SECRET_WORDS for p in parts) or joined in SECRET_WORDS
-    if last in OTHER_WORDS:
+    if last in OTHER_WORDS or parts[:1] == ["primary"] or parts[:1] == ["foreign"]:
         return "other+" if secret else "other"
-    found = "strong" if last in STRONG_WORDS or joined in STRONG_WORDS else "secret" if last in SECRET_WORDS or joined in SECRET_WORDS else "inner" if secret else "plain"
-    return ("fetch+" if parts[:1] == ["env"] else "") + found
+    if parts[:1] == ["env"] and secret:
+        return "fetch"
+    return "strong" if last in STRONG_WORDS or joined in STRONG_WORDS else "secret" if last in SECRET_WORDS or joined in SECRET_WORDS else "inner" if secret else "plain"
 
 
 def _spread(text: str) -> float:
-    counts = Counter(text)
     n = len(text)
-    return -sum(c / n * math.log2(c / n) for c in counts.values())
+    return -sum(c / n * math.log2(c / n) for c in Counter(text).values())
 
 
-@lru_cache(maxsize=CACHED)
 def _form(text: str) -> str:
     """The kind of literal a text looks like."""
     n = len(text)
     if PLACEHOLDERS.match(text):
         return "placeholder"
+    if text in LINK_WORDS:
+        return "link"
     if re.fullmatch(r"-?\d[\d_.]*[uUlLfF]*|0[xX][\da-fA-F]+", text):
         return "number"
     if re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", text, re.I):
         return "uuid"
     if re.fullmatch(r"(?:[0-9a-f]{2}:){5,}[0-9a-f]{2}", text, re.I):
         return "fingerprint"
-    if re.match(r"(?:sha\d+|md5|blake\w+|pbkdf2|bcrypt|scrypt|argon2\w*)[:\-$]|\$2[aby]\$|\$argon", text):
+    if re.match(r"(?:sha\d+|md5|blake\w+|pbkdf2\w*|bcrypt|scrypt|argon2\w*)[:\-$]|\$2[aby]\$|\$argon|\$[156]\$", text):
         return "digest"
-    if text.startswith("data:") or text.startswith("image/"):
+    if text.startswith(("data:", "image/")):
         return "data"
     if re.match(r"(?:AKIA|ASIA)[A-Z0-9]{12,}$|gh[pousr]_\w{16,}|xox[abpors]-[\w-]{8,}|eyJ[\w-]{6,}\.[\w-]+|sk[-_](?:live|test|proj)?[-_]?\w{12,}|AIza[\w-]{20,}|glpat-[\w-]{10,}|npm_\w{20,}|SG\.[\w-]+\.[\w-]+", text):
         return "vendor"
     if re.match(r"[a-z]{2,6}_[a-z]{2,6}_[A-Za-z0-9]{14,}$", text) and (re.search(r"\d", text) or re.search(r"[a-z][A-Z].*[a-z][A-Z]", text)):
         return "vendor"
-    if re.fullmatch(r"[0-9a-f]+", text) and n >= 16:
-        return f"hex{n if n in (32, 40, 48, 64, 128) else ''}"
+    if re.fullmatch(r"[0-9a-f]+", text) and n >= 6 and re.search(r"\d", text):
+        return f"hex{n}" if n in (32, 40, 48, 64, 128) else "hex-long" if n >= 16 else "hex-short"
     if re.fullmatch(r"[0-9a-f]{6,12}:[A-Za-z0-9]{12,}", text):
         return "pair"
-    if re.fullmatch(r"[A-Za-z]+(?:[-_.][A-Za-z]+){2,}\d+", text):
+    if re.fullmatch(r"[A-Za-z]+(?:[-_.][A-Za-z]+){1,}\d+", text):
         return "phrase"
     if re.fullmatch(r"[A-Z]?[a-z]+(?:[-_][a-z]+)?[-_]?\d{1,3}", text):
         return "numbered"
@@ -209,6 +140,8 @@ def _form(text: str) -> str:
         return "path"
     if re.fullmatch(r"[\w-]+(?:\.[\w-]+)+", text) and _spread(text) < 3.9:
         return "dotted"
+    if re.fullmatch(r"\W+", text):
+        return "signs"
     if n >= 16 and _spread(text) >= 3.5 and len(PART.findall(text)) * 3 > n:
         return "mixed-long"
     kinds = sum(bool(re.search(p, text)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w\s]"))
@@ -219,302 +152,316 @@ def _form(text: str) -> str:
         return "half-long" if n >= 20 else "half"
     if n >= 6 and kinds >= 3:
         return "mixed-short"
-    return "short" if n < 6 else "rest"
-
-
-@lru_cache(maxsize=CACHED)
-def _token_features(form: str, where: str, key: str, has_key: bool, context: str, last_class: str, lead: str, said: bool, size: int, dialling: bool, strings: int, fetched: bool, noted: bool, plus: bool, after: str, before: str) -> list[int]:
-    names = [
-        "bias", f"f={form}", f"w={where}", f"f,w={form},{where}", f"f,k={form},{key}", f"f,k,w={form},{key},{where}", f"f,c={form},{context}", f"f,k,c={form},{key},{context}",
-        f"f,last={form},{last_class}", f"f,lead={form},{lead}", f"lead,w={lead},{where}", f"f,said={form},{said}", f"f,said,w={form},{said},{where}", f"n={size // 4}", f"f,n={form},{size // 6}",
-        f"dial={dialling},{strings},{where}", f"dial,f={dialling},{strings},{form}", f"key={has_key},{form},{where}", f"next={after}",
-        f"prev={before}", f"plus,f={plus},{form}", f"fetch={fetched}", f"incomment={noted},{form}", f"incomment,lead={noted},{lead},{form}",
-    ]
-    return feature_ids(names)
-
-
-def features(tokens: list[Token]) -> list[list[int]]:
-    """Hashed features of each token of a line."""
-    out = []
-    texts = [t.text for t in tokens]
-    lower = [t.lower() for t in texts]
-    words = [i for i, t in enumerate(texts) if t[:1].isalpha() or t[:1] in "_$"]
-    comment = next((i for i, t in enumerate(texts) if t.startswith(("//", "#", "--", "/*")) or t in ("/", "#") and texts[i + 1 : i + 2] == ["/"]), len(texts))
-    noted = any(w in COMMENT_WORDS for i in range(comment, len(lower)) for w in _parts(lower[i]))
-    fetched = any(p in FETCH_WORDS for i in words if i < len(texts) - 1 and texts[i + 1] in "([." for p in [lower[i], *_parts(texts[i])])
-    call = next((lower[i] for i in words if i + 1 < len(texts) and texts[i + 1] == "("), "")
-    dialling = call in ("connect", "login", "authenticate", "auth", "open", "dial", "signin", "sign_in", "logon")
-    strings = 0
-    key = "plain"
-    has_key = False
-    for i, token in enumerate(tokens):
-        text = texts[i]
-        if text in ("=", ":", ":=", "=>") and i:
-            j = i - 1
-            while j >= 0 and texts[j] in ("\"", "'", "`", ")", "]", ":", "*") or j > 0 and texts[j] in ("string", "str", "String", "number", "int64") and texts[j - 1] == ":":
-                j -= 1
-            if j >= 0 and (texts[j][:1].isalpha() or texts[j][:1] in "_$"):
-                key, has_key = _name_class(texts[j]), True
-        elif text == "value" and any(t in ("key", "name") for t in lower[:i]):
-            named = next((texts[j] for j in range(i) if tokens[j].quoted), "")
-            key, has_key = (_name_class(named) if named else key), True
-        elif text in ",;" and key != "plain" and text == ",":
-            key = "plain"
-        form = {"pem": "pem", "scheme": "scheme", "user": "user", "host": "host"}.get(token.role) or (_form(text) if len(text) > 1 else "mark")
-        if token.role == "pem":
-            form = "pem-private" if "PRIVATE KEY" in text else "pem-other"
-        previous = [lower[j] for j in range(max(0, i - 6), i) if lower[j] not in ("\"", "'", "`", ":", "=")]
-        last = previous[-1] if previous else "^"
-        last_class = _name_class(last) if last[:1].isalpha() else "flag" if re.match(r"-{1,2}\w", last) else "mark"
-        lead = next((w for w in reversed(previous) if w in ("basic", "bearer", "password", "login", "key", "u", "token", "sha256sum", "checkout", "secret", "passphrase", "digest", "commit")), "-")
-        if token.quoted:
-            strings += 1
-        said = any(w in SECRET_WORDS for p in previous for w in _parts(p))
-        where = token.role or ("quoted" if token.quoted else "free")
-        context = "fetch" if fetched else "note" if noted else "-"
-        size = min(len(text), 40)
-        out.append(
-            _token_features(
-                form, where, key, has_key, context, last_class, lead, said, size, dialling, min(strings, 4), fetched, i > comment, i > 1 and "+" in texts[max(0, i - 3) : i],
-                lower[i + 1] if i + 1 < len(lower) and len(lower[i + 1]) < 3 else "~", texts[i - 1] if i and len(texts[i - 1]) < 3 else "~",
-            )
-        )
-    return out
-
-
-def credential_lines(n: int = TRAINING_LINES, seed: int = 3) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Labelled training lines made up by a seeded generator: (line, spans of credentials)."""
-    import random
-
-    r = random.Random(seed)
-    plain = "digest cache batch window frame hash label river stone maple tower copper amber delta forest garden island jungle kernel ladder magnet needle orchid pepper quiver rocket saddle temple umpire violet walnut zephyr cloud bridge candle".split()
-    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    marks = "!?*+%=~^&@.#$-_"
-
-    def some(chars: str, low: int, high: int | None = None) -> str:
-        return "".join(r.choice(chars) for _ in range(r.randint(low, high or low)))
-
-    def word() -> str:
-        return r.choice(plain)
-
-    def weak() -> str:
-        return r.choice([
-            lambda: f"{word().title()}{r.randint(10, 9999)}{some(marks, 1, 2)}",
-            lambda: "-".join(word() for _ in range(r.randint(2, 4))) + str(r.randint(1, 99)),
-            lambda: some(lower + upper + digits, 8, 18) + r.choice(["", some(digits, 1)]),
-            lambda: some(lower + upper + digits + marks, 8, 18),
-            lambda: some(lower + upper + digits + marks[:8], 9, 16),
-        ])()
-
-    def strong() -> str:
-        return r.choice([
-            lambda: "AKIA" + some(upper + digits, 16), lambda: "ghp_" + some(lower + upper + digits, 36), lambda: f"xoxb-{some(digits, 11)}-{some(digits, 11)}-{some(lower + upper + digits, 24)}",
-            lambda: f"eyJ{some(lower + upper + digits, 18)}.eyJ{some(lower + upper + digits, 30, 44)}.{some(lower + upper + digits + '-_', 43)}", lambda: some(lower + upper + digits + "-_", 26, 46), lambda: some(lower + upper + digits + "+/", 38, 43) + r.choice(["", "="]),
-            lambda: some("0123456789abcdef", r.choice([32, 40, 48, 64])), lambda: f"{some('0123456789abcdef', 8)}:{some(lower + upper + digits, 22)}", lambda: f"{some(lower, 3)}_{r.choice(['live', 'prod', 'test', 'svc'])}_{some(lower + upper + digits, 22, 34)}",
-        ])()
-
-    secret_names = "password passwd pwd pw pass passphrase db_pass db_password smtp_password root_pw admin_pass kennwort clave passwort dbPassword userPass DB_PASS".split()
-    token_names = "token tok svc_token access_token api_key apikey apiKey secret client_secret hook_secret signing_key auth bearer credential license_token push_key secret_key authToken accessKey API_KEY privateToken auth_key".split()
-    neutral = "t0 value val cfg conn key0 x data s item tmp opt field0".split()
-    notes = ["prod key", "do not commit", "token for the billing api", "used to sign requests", "api secret", "production credential", "login token"]
-    others = "checksum password_hash commit integrity fingerprint request_id token_id key_id secret_name password_label token_limit key_column pass_count build_sha etag icon public_key pub_pem session_id secret_path token_type password_field auth_header_name".split()
-    out: list[tuple[str, list[tuple[int, int]]]] = []
-
-    def add(line: str, *secrets: str) -> None:
-        spans, at = [], 0
-        for s in secrets:
-            at = line.index(s, at)
-            spans.append((at, at + len(s)))
-            at += len(s)
-        out.append((r.choice(["", "", "    ", "        ", "  "]) + line if not spans else line, spans))
-        if spans:
-            pad = r.choice(["", "    ", "  "])
-            out[-1] = (pad + line, [(a + len(pad), b + len(pad)) for a, b in spans])
-
-    def assign(name: str, value: str, note: str = "") -> str:
-        q = r.choice("\"\"\"'`") if "'" not in value else "\""
-        note_text = r.choice(["", "", f" {r.choice(['//', '#'])} {note}"]) if note else ""
-        return r.choice(["{n} = {q}{v}{q}", "{n} := {q}{v}{q}", "const {n} = {q}{v}{q};", "let {n}: string = {q}{v}{q};", "String {n} = {q}{v}{q};", "const char *{n} = {q}{v}{q};", "${n} = {q}{v}{q};", "var {n} = {q}{v}{q};", "{n}={q}{v}{q}", "\"{n}\": {q}{v}{q},", "{n}: {q}{v}{q},", "self.{n} = {q}{v}{q}"]).format(n=name, q=q, v=value) + note_text
-
-    pre = ["", "", "app_", "their_", "default_", "my_", "svc_"]
-    while len(out) < n:
-        kind = r.choice([18, 18, 26, r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44), r.randint(0, 44)])
-        if kind < 5:
-            v = weak()
-            add(assign(r.choice(pre) + r.choice(secret_names), v, r.choice(notes)), v)
-        elif kind < 9:
-            v = strong()
-            add(assign(r.choice(pre) + r.choice(token_names), v, r.choice(notes)), v)
-        elif kind == 9 or kind == 43:
-            v = strong() if kind == 9 else some("0123456789abcdef", r.choice([32, 40, 48]))
-            note = r.choice(notes)
-            add(f"{r.choice(['', 'let ', 'String ', 'const char *'])}{r.choice(neutral)} {r.choice(['=', ':='])} \"{v}\"{r.choice([';', ''])} {r.choice(['//', '#'])} {note}", v)
-        elif kind == 10:
-            v = strong()
-            cut = r.randint(6, len(v) - 6)
-            add(f"{r.choice(['const ', ''])}{r.choice(token_names)} = \"{v[:cut]}\" {r.choice(['+', '.'])} \"{v[cut:]}\"", v[:cut], v[cut:])
-        elif kind == 11:
-            v = some(lower + upper + digits, 8, 18)
-            add(assign(r.choice(["url", "dsn", "conn", "broker", "upstream", "endpoint"]), f"{r.choice(['postgres', 'redis', 'mongodb', 'https', 'amqp', 'mysql'])}://{r.choice(['', 'svc', 'app', 'root'])}_{word()}:{v}@{word()}-{r.randint(1, 40)}.{word()}.{r.choice(['example', 'test', 'invalid'])}/{word()}"), v)
-        elif kind == 12:
-            v = some(lower + upper + digits, 8, 18)
-            add(f"{r.choice(['DB_URL', 'CACHE_URL', 'url', 'dsn'])}{r.choice(['=', ': '])}{r.choice(['postgres', 'redis', 'mysql'])}://app:{v}@{word()}-{r.randint(1, 40)}.{word()}.example/x", v)
-        elif kind == 13:
-            v = base64.b64encode(f"{word()}:{weak()}".encode()).decode()
-            add(assign(r.choice(["header", "auth_header", "h"]), f"Authorization: Basic {v}"), v)
-        elif kind == 14:
-            v = strong()
-            add(r.choice(["{c} curl -H 'Authorization: Bearer {v}' https://{w}-4.{w}.test/v1/{w}", "{c} Authorization: Bearer {v}", "{c}curl -H \"Authorization: Bearer {v}\" https://{w}.example/"]).format(c=r.choice(["//", "#", "*", "-", ""]), v=v, w=word()), v)
-        elif kind == 15:
-            v = weak().replace(" ", "")
-            add(r.choice(["password: {v}", "  password: {v}", "pass: {v}", "{W}_PASS={v}", "{W}_PASSWORD={v}", "passwd = {v}", "pwd: {v}"]).format(v=v, W=word().upper()), v)
-        elif kind == 16:
-            v = strong()
-            add(r.choice(["secretAccessKey: {v}", "api_key: {v}", "{W}_TOKEN={v}", "export {W}_SECRET={v}", "export {W}_TOKEN={v}", "export {W}_KEY={v}", "token: {v}", "login --key {v}", "{w} login --token {v}", "authToken={v}"]).format(v=v, W=word().upper(), w=word()), v)
-        elif kind == 17:
-            v = weak()
-            add(f"machine {word()}-{r.randint(1, 40)}.{word()}.example login {r.choice(['bot', 'deploy', 'ci'])} password {v}", v)
-        elif kind == 18:
-            v = r.choice([weak, strong])()
-            add(r.choice(["{c} login: {u} / {v}", "{c} temporary key {v} until the rotation", "{c} the password is {v}", "{c} user {u}, password {v}", "{c} token {v} expires soon", "{c} old secret: {v}", "{c} old pw was {v}", "{c} pw is {v}", "{c} the old password was {v} until May", "{c} pwd {v}, ask ops"]).format(c=r.choice(["//", "#", "*", "--"]), u=r.choice(["deploy", "admin", "bot"]), v=v), v)
-        elif kind == 19:
-            v = weak().replace("'", "").replace("\"", "")
-            if r.random() < 0.3:
-                add(f"curl -u {r.choice(['admin', 'bot', 'svc'])}:{r.choice(['****', '$PASS', '<password>', '${PW}', '********', 'xxxx'])} https://{word()}-{r.randint(1, 30)}.{word()}.test/")
-            add(f"curl -u {r.choice(['admin', 'bot', 'svc'])}:{v} https://{word()}-{r.randint(1, 30)}.{word()}.test/{word()}", v)
-        elif kind == 20:
-            v = weak().replace("'", "")
-            add(r.choice([f"<add key='{r.choice(['pwd', 'password', 'token'])}' value='{v}'/>", f"<property name=\"password\" value=\"{v}\"/>"]), v)
-        elif kind == 21:
-            v = weak().replace("\"", "")
-            add(f"{r.choice(['connect', 'login', 'dial'])}(\"{word()}-{r.randint(1, 20)}.{word()}.test\", {r.randint(1000, 9999)}, \"{r.choice(['svc_', ''])}{word()}\", \"{v}\")" + r.choice([";", ""]), v)
-        elif kind == 22:
-            v = weak().replace("\"", "")
-            add(f"opts = {{\"user\": \"{r.choice(['svc', 'app', 'bot'])}\", \"{r.choice(['password', 'pass', 'auth_token', 'pwd'])}\": \"{v}\"}}", v)
-        elif kind == 23:
-            p = f"-----BEGIN {r.choice(['RSA ', 'EC ', 'OPENSSH ', ''])}PRIVATE KEY-----"
-            body = r.choice(["", "\\n" + some(lower + upper + digits + "+/", 64) + "\\n" + some(lower + upper + digits, 40) + "\\n-----END PRIVATE KEY-----\""])
-            line = f"{r.choice(['const ', 'pem := ', 'string '])}pem = {r.choice(['`', chr(34)])}{p}{body}"
-            add(line, p)
-        elif kind == 24:
-            add(assign("pub_pem", f"-----BEGIN {r.choice(['', 'RSA '])}PUBLIC KEY-----\\n{some(lower + upper + digits, 40)}\\n-----END PUBLIC KEY-----"))
-        elif kind == 25:
-            add(assign(r.choice(["checksum", "digest", "integrity", "file_hash"]), r.choice([f"sha256:{some('0123456789abcdef', 64)}", f"sha512-{some(lower + upper + digits + '+/', 86)}==", f"md5:{some('0123456789abcdef', 32)}"])))
-        elif kind == 26:
-            add(r.choice([*(assign(r.choice(["commit", "build_sha", "revision", "commit"]), some("0123456789abcdef", 40)) for _ in range(4)), f"git checkout {some('0123456789abcdef', 40)}", f"sha256sum: {some('0123456789abcdef', 64)}", f"commit {some('0123456789abcdef', 40)}", f"- fixed in {some('0123456789abcdef', 40)}", assign("etag", some("0123456789abcdef", 32))]))
-        elif kind == 27:
-            add(assign(r.choice(["password_hash", "pw_hash", "hashed_password"]), r.choice([f"pbkdf2:{r.randint(1, 9)}0000:{some('0123456789abcdef', 16)}:{some('0123456789abcdef', 64)}", f"$2b$12${some(lower + upper + digits, 53)}", f"$argon2id$v=19$m=65536${some(lower + upper + digits, 40)}"])))
-        elif kind == 28:
-            i = some("0123456789abcdef", 32)
-            add(assign(r.choice(["request_id", "token_id", "session_uuid", "key_id", "trace"]), f"{i[:8]}-{i[8:12]}-{i[12:16]}-{i[16:20]}-{i[20:]}"))
-        elif kind == 29:
-            add(r.choice([assign("fingerprint", ":".join(some("0123456789abcdef", 2) for _ in range(16))), assign("icon", f"data:image/png;base64,{some(lower + upper + digits + '+/', 80)}"), assign("logo", f"data:image/svg+xml;base64,{some(lower + upper + digits, 60)}")]))
-        elif kind == 30:
-            add(assign(r.choice(["password_label", "token_hint", "secret_prompt", "key_title"]), f"Enter the {r.choice(['password', 'token', 'key'])} of the {word()}"))
-        elif kind == 31:
-            add(r.choice([assign("key_column", f"{word()}_key"), f"{r.choice(['let ', ''])}token_limit = {r.randint(100, 9999)}", assign("token_type", "bearer"), assign("secret_name", f"{word()}/prod"), f"key_count = {r.randint(1, 99)}", assign(f"{word()}_{word()}", f"{word()}-{r.randint(1, 99)}"), f"{word().upper()}_TOKEN_{word().upper()}_{r.randint(1, 99)} = {r.randint(1, 99)}"]))
-        elif kind == 32:
-            add(r.choice(["{n} = os.environ[\"{W}_TOKEN\"]", "const {n} = process.env.{W}_TOKEN;", "String {n} = System.getenv(\"{W}_TOKEN\");", "{n} := os.Getenv(\"{W}_SECRET\")", "const {n}: string = load_secret(\"{w}/prod\");", "let {n} = env(\"{W}_KEY\");", "string {n} = Environment.GetEnvironmentVariable(\"{W}_PASS\");", "{n} = vault.read(\"{w}/db\")[\"password\"]", "{n} = get_secret(\"{w}-{w}-key2\")", "{n} = config[\"{n}\"]", "password: ${{{W}_PASS}}", "{n}=${W}_PASS"]).format(n=r.choice(["env_", "", "app_"]) + r.choice(secret_names + token_names), W=word().upper(), w=word()))
-        elif kind in (33, 34):
-            v = r.choice(["", "none", "null", "<your-token-here>", "YOUR_API_KEY", "REPLACE_ME", "insert-key-here", "<redacted>", "********", "changeme", "xxxxxxxx", "[REDACTED]", "your-password", "${TOKEN}", "{{ api_key }}", "%s", "TODO", "dummy", "example", "<password>", "...", "your_secret_here", "enter-password", "XXXXXXXXXXXX"])
-            add(assign(r.choice(pre) + r.choice(secret_names + token_names), v))
-        elif kind == 35:
-            v = r.choice(["<password>", "PASSWORD", "****", "%s", "${PASS}", "{password}", "<pw>", "xxxx", "$PASS"])
-            add(assign(r.choice(["dsn_shape", "url", "dsn_template"]), f"{r.choice(['postgres', 'redis'])}://svc_{word()}:{v}@{word()}-{r.randint(1, 40)}.{word()}.test/db"))
-        elif kind == 36:
-            add(r.choice([f"export {word().upper()}_TOKEN=<your token>", f"# set the {r.choice(['token', 'password', 'key'])} with {word()} login --key <key>", f"login --key $TOKEN", f"url = \"https://{word()}-{r.randint(1, 30)}.{word()}.example/v1/{word()}\"", f"// see https://{word()}.example/{word()}#{some(lower, 6)}", f"password = input(\"password: \")", f"Authorization: Bearer <token>", f"curl -H \"Authorization: Bearer $TOKEN\" https://{word()}.example/"]))
-        elif kind == 37:
-            add(r.choice([f"{some(lower + upper + digits + '+/', 64)}", f"-----END PRIVATE KEY-----{r.choice(['`', chr(34)])};", f"{some('0123456789abcdef', 64)}  {word()}.tar.gz", f"{some(lower + upper + digits + '+/', 44)}"]))
-        elif kind == 38:
-            add(r.choice([f"note(\"{word()} is {word()}\")", f"def {word()}_{word()}(key, token):", f"if token == \"{word()}\":", f"return cache_key + \"{word()}-{r.randint(1, 99)}\"", f"import {{ {word()} }} from \"./{word()}-{r.randint(1, 9)}.js\";", f"# The {word()} token is sent before the {word()} key.", f"for key in {word()}_keys:", f"total += {word()}{word().title()}(key, depth)", f"{word()}.set(\"key\", \"{word()}{r.randint(1, 999)}\")", f"// The old {word()} is kept for {r.randint(1, 999)} days."]))
-        elif kind == 39:
-            f = f"{r.choice(['yy_rule', 'visit', 'has', 'get', 'key', 'token'])}_{word()}_{word()}{r.choice(['_v', '_f00', '', '_'])}{r.randint(0, 99)}"
-            add(r.choice(["static long {f}(const long *msg) {{", "pub fn {f}(msg: &[i64]) -> i64 {{", "def {f}(msg):", "function {f}(msg) {{", "return {f}(x) + 1;", "total += {f}(depth, 0x1f)"]).format(f=f))
-        elif kind == 40:
-            if r.random() < 0.6:
-                n_ = r.randint(0, 99)
-                c_ = f"{word().upper()}_{r.choice(['TOKEN', 'KEY', 'KIND', 'PASS', 'AUTH', 'SECRET'])}_{word().upper()}_{n_}"
-                add(r.choice(["pub const {c}: i64 = {v};", "public static final long {c} = {v};", "public const long {c} = {v};", "export const {c}: number = {v};", "#define {c} {v}", "const {c} = {v};", "{c} = {v}"]).format(c=c_, v=r.choice([str(n_), hex(n_ * 16)])))
-            add(f"{r.choice(['', 'const ', '#define ', '_'])}{word().upper()}_{r.choice(['TOKEN', 'KEY', 'KIND', 'STATE', 'AUTH'])}_{word().upper()}_{r.randint(0, 99)}{r.choice([' = ', ' '])}0x{some('0123456789abcdef', 1, 4)}{r.choice(['', ';', ','])}")
-        elif kind == 44:
-            add(r.choice(["{c} see change {h} for the old {k} store", "{c} {k} = first word of the line", "{c} the {k} is read from the vault at start", "{c} the {k} was rotated in {h}", "{c} reverts {h}, {k} handling", "{c} {k}: see the vault", "{c} the {k} must have {n} characters"]).format(c=r.choice(["//", "#", "--"]), h=some("0123456789abcdef", r.choice([8, 12, 40])), k=r.choice(["secret", "token", "password", "key", "pw"]), n=r.randint(8, 40)))
-        elif kind == 41:
-            v = some(lower + upper, 8, 14)
-            add(assign(r.choice(pre) + r.choice(secret_names), v), v)
-        else:
-            add(assign(r.choice(["name", "title", "path", "version", word(), "file", "color", "host"]), r.choice([f"{word()}-{r.randint(1, 99)}", f"/srv/{word()}/{word()}{r.randint(1, 9)}.txt", f"/srv/{word()}/{word()}{r.randint(1, 9)}.txt", f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"{word()}.{word()}.example", f"#{some('0123456789abcdef', 6)}", f"{word().title()} {word()} {r.randint(1, 99)}"])))
-    return out[:n]
-
-
-def label_line(line: str, spans: list[tuple[int, int]]) -> tuple[list[Token], list[int]]:
-    tokens = tokens_of(line)
-    labels = []
-    for t in tokens:
-        inside = [s for s in spans if t.start < s[1] and t.end > s[0]]
-        labels.append(O if not inside else I if labels and labels[-1] != O and t.start > inside[0][0] else B)
+    return "short" if n < 6 else "letters" if text.isalpha() else "rest"
+
+
+FORMS = "mark sign placeholder link number uuid fingerprint digest data vendor hex32 hex40 hex48 hex64 hex128 hex-long hex-short pair phrase numbered word-number-mark words capitals path dotted signs mixed-long mixed half-long half mixed-short short letters rest pem-private pem-other url user".split()
+CLASSES = "none plain inner secret strong other other+ fetch".split()
+MARKS = "~ ( ) [ ] { } < > = : , ; . + - * / # @ $ & | ! ? % \" ' ` := => == -> ^ \\".split()
+#: Columns of what a token's text alone says.
+FORM, WHERE, CLASS, SAID, LEAD, NAME, QUOTE, OP, LINE, BLANK, FETCH, DIAL, NOTE, LINK, SIGN, SKIP, SIZE, COMMENT, TYPE = range(19)
+
+
+def _static(token: str) -> tuple[int, ...]:
+    """The columns of one token text. A first character \\x01 marks the password of an address, \\x02 its user."""
+    out = [0] * 19
+    role = token[0]
+    body = token[1:] if role in "\x01\x02" else token
+    lower = body.lower()
+    quoted = len(token) > 2 and role in "\"'`" and token[-1] == role
+    if quoted:
+        body = body[1:-1]
+        lower = lower[1:-1]
+    name = not quoted and bool(re.match(r"[^\W\d]|\$\w", body)) and role not in "\x01\x02" and "://" not in body
+    plain_name = name and bool(re.fullmatch(r"[\w$.\-]+", body))
+    if token == "\n":
+        out[LINE] = 1
+    out[BLANK] = int(token.isspace())
+    if body.startswith("-----"):
+        form = "pem-private" if "BEGIN" in body and "PRIVATE KEY" in body else "pem-other"
+    elif role == "\x02":
+        form = "user"
+    elif "://" in body:
+        form = "url"
+    elif len(body) <= 2 and not body[:1].isalnum():
+        form = "sign"
+    else:
+        form = _form(body) if len(body) > 1 else "mark"
+    out[FORM] = FORMS.index(form)
+    if form.startswith("pem"):
+        lower = form
+    out[WHERE] = 1 if quoted else 2 if role == "\x01" else 3 if plain_name and not out[BLANK] else 4 if form == "number" else 5 if form in ("sign", "mark") else 6
+    out[CLASS] = CLASSES.index(_name_class(body)) if plain_name or quoted else 0
+    parts = _parts(body)
+    out[SAID] = int(any(p in SECRET_WORDS for p in parts) or lower in SECRET_WORDS)
+    out[LEAD] = LEADS.index(lower) + 1 if lower in LEADS else 0
+    out[NAME] = int(plain_name)
+    out[QUOTE] = 1 + "\"'`".index(token) if token in ("\"", "'", "`") else 0
+    out[OP] = int(token in ("=", ":", ":=", "=>"))
+    out[FETCH] = int(name and (lower in FETCH_WORDS or any(p in FETCH_WORDS for p in parts)))
+    out[DIAL] = int(name and (lower in DIALS or lower.rsplit(".", 1)[-1] in DIALS))
+    out[NOTE] = int(any(p in NOTE_WORDS for p in parts))
+    out[LINK] = int(lower in LINK_WORDS)
+    out[SIGN] = MARKS.index(token) if token in MARKS else 0
+    out[SKIP] = int(token in ("\"", "'", "`", ")", "]", ":", "*", "=", ":=", "=>"))
+    out[SIZE] = min(len(body), 63)
+    out[COMMENT] = int(token in ("#", "--", "/*", "*") or body.startswith(("//", "#", "/*")))
+    out[TYPE] = int(token in TYPES)
+    return tuple(out)
+
+
+class _Codes(dict):
+    """Numbers of token texts, and their static columns; forgets all when it is full."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.rows: list[tuple[int, ...]] = []
+        self.table = np.zeros((19, 0), dtype="i4")
+
+    def __missing__(self, token: str) -> int:
+        self[token] = code = len(self.rows)
+        self.rows.append(_static(token))
+        return code
+
+    def columns(self) -> np.ndarray:
+        """(columns, texts) of all texts known."""
+        known = self.table.shape[1]
+        if known < len(self.rows):
+            self.table = np.concatenate([self.table, np.array(self.rows[known:], dtype="i4").reshape(-1, 19).T], axis=1)
+        return self.table
+
+    def tidy(self) -> None:
+        if len(self.rows) > KNOWN:
+            self.clear()
+            self.rows, self.table = [], np.zeros((19, 0), dtype="i4")
+
+
+def _lexed(text: str) -> tuple[list[str], list[int] | None]:
+    """Tokens that tile the text; addresses with a password or parameters in parts, then lengths are given too."""
+    tokens = LEX.findall(text)
+    if "://" not in text:
+        return tokens, None
+    out: list[str] = []
+    lengths: list[int] = []
+
+    def put(token: str, role: str = "") -> None:
+        if token:
+            out.append(role + token)
+            lengths.append(len(token))
+
+    for token in tokens:
+        if "://" not in token or len(token) > 2 and token[0] in "\"'`":
+            put(token)
+            continue
+        m = _USERINFO.match(token)
+        if m:
+            for i, role in ((1, ""), (2, "\x02"), (3, ""), (4, "\x01"), (5, "")):
+                put(m.group(i), role)
+            token = token[m.end() :]
+        at = 0
+        for m in _PARAMETER.finditer(token):
+            put(token[at : m.start()])
+            for i in (1, 2, 3, 4):
+                put(m.group(i))
+            at = m.end()
+        put(token[at:])
+    return out, lengths
+
+
+def _radix(*columns: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
+    total, size = columns[0][0].astype("i4"), columns[0][1]
+    for values, n in columns[1:]:
+        total = total * n + values
+        size *= n
+    return total, size
+
+
+class Tokens:
+    """The tokens of a batch of texts as columns: places, lines, and the numbers of their features."""
+
+    def __init__(self, texts: list[str], codes: _Codes):
+        names: list[str] = []
+        lengths: list[int] = []
+        for text in texts:
+            part, sizes = _lexed(text)
+            names += part
+            lengths += sizes if sizes is not None else map(len, part)
+            names.append("\n")  # texts end lines; this one has no place
+            lengths.append(0)
+        code = np.fromiter(map(codes.__getitem__, names), "i8", len(names))
+        table = codes.columns()
+        lengths = np.array(lengths, dtype="i8")
+        ends = np.cumsum(lengths)
+        breaks = table[LINE][code]
+        line = np.cumsum(breaks) - breaks
+        keep = np.nonzero(table[BLANK][code] == 0)[0]
+        self.start, self.end, self.line = (ends - lengths)[keep], ends[keep], line[keep]
+        self.static = s = table[:, code[keep]]
+        quoted = s[WHERE] == 1
+        self.start, self.end = self.start + quoted, self.end - quoted
+        n = len(keep)
+        self.first = np.nonzero(np.append(True, self.line[1:] != self.line[:-1]))[0] if n else np.zeros(0, "i8")
+        self.ids, self.features = self._numbers(keep)
+
+    def _numbers(self, keep: np.ndarray) -> tuple[np.ndarray, int]:
+        s, n = self.static, len(keep)
+        at = np.arange(n)
+        begin = np.zeros(n, "i8")
+        begin[self.first] = self.first
+        begin = np.maximum.accumulate(begin) if n else begin
+        no = np.cumsum(np.isin(at, self.first)) - 1
+        lines = len(self.first)
+
+        def last(mask: np.ndarray, shift: int = 1) -> np.ndarray:
+            """The last place of the mask before each token on its line, or -1."""
+            seen = np.maximum.accumulate(np.where(mask, at, -1)) if n else at
+            if shift:
+                seen = np.append(-1, seen[:-1])[:n] if n else seen
+            return np.where(seen >= begin, seen, -1)
+
+        def back(k: int) -> np.ndarray:
+            return np.where(at - k >= begin, at - k, -1)
+
+        def pick(values: np.ndarray, places: np.ndarray, default: int) -> np.ndarray:
+            return np.where(places >= 0, values[places], default) if n else values
+
+        in_line = lambda mask: (np.bincount(no, mask, lines) > 0)[no] if n else mask.astype(bool)
+        form, where, cls, sign = s[FORM], s[WHERE], s[CLASS], s[SIGN]
+        before = back(1)
+        typed = (s[TYPE] == 1) & (pick(sign, before, 0) == MARKS.index(":"))
+        named = last((s[SKIP] == 0) & ~typed)
+        quoted = where == 1
+        said_before = last(quoted)
+        name_ok = (named >= 0) & ((pick(s[NAME], named, 0) == 1) | (pick(where, named, 0) == 1))
+        op = (s[OP] == 1) & name_ok
+        value_word = pick(s[SIZE], named, 0) == 5
+        key_of = pick(cls, named, 0)
+        # of <entry key="..." value="...">: the value goes by the text quoted before
+        generic = op & value_word & (key_of == CLASSES.index("plain")) & (said_before >= 0) & (said_before < named)
+        key_of = np.where(generic, pick(cls, said_before, 1), key_of)
+        comma = sign == MARKS.index(",")
+        event = last(op | comma)
+        key = np.where(event >= 0, np.where(pick(comma, event, False), 1, pick(key_of, event, 0)), 0)
+        close_name = last(op)
+        has_op = close_name >= 0
+        word = last((s[QUOTE] == 0) & (s[OP] == 0))
+        last_class = np.where(word < 0, 8, np.where(pick(s[NAME], word, 0) == 1, pick(cls, word, 0), 9))
+        lead_at = last(s[LEAD] > 0)
+        lead = np.where((lead_at >= 0) & (at - lead_at <= 5), pick(s[LEAD], lead_at, 0), 0)
+        said_at = last(s[SAID] == 1)
+        said = ((said_at >= 0) & (at - said_at <= 6)).astype("i4")
+        following = np.append(at[1:], -1)[:n]
+        following = np.where((following >= 0) & np.isin(following, self.first, invert=True), following, -1)
+        after = pick(sign, following, MARKS.index("^"))
+        prev = pick(sign, before, MARKS.index("^"))
+        called = np.isin(after, [MARKS.index(x) for x in "([."])
+        fetched = in_line((s[FETCH] == 1) & called)
+        dial_at = last((s[DIAL] == 1) & (after == MARKS.index("(")))
+        dial = (dial_at >= 0).astype("i4")
+        strings = np.cumsum(quoted) - quoted
+        strings = np.minimum(strings - pick(strings, begin, 0), 4)
+        opened = (s[COMMENT] == 1) & ((sign != MARKS.index("*")) | (at == begin)) | (sign == MARKS.index("/")) & (pick(sign, following, 0) == MARKS.index("/"))
+        comment = (last(opened) >= 0).astype("i4")
+        noted = in_line((s[NOTE] == 1) & (comment == 1))
+        context = np.where(fetched, 1, np.where(noted, 2, 0))
+        plus = (pick(sign, before, 0) == MARKS.index("+")) | (pick(sign, back(2), 0) == MARKS.index("+"))
+        size = s[SIZE]
+        glued = np.append(False, keep[1:] == keep[:-1] + 1)[:n].astype("i4")
+        # strings of several words: the quote that is open, whether it is the value of a name, how many words, link words among them
+        phrase = np.zeros(n, "i4")
+        inside = np.zeros(n, bool)
+        for q in (1, 2, 3):
+            mine = s[QUOTE] == q
+            if not mine.any():
+                continue
+            count = np.cumsum(mine)
+            odd = (count - pick(count - mine, begin, 0)) % 2 == 1
+            opener = last(mine, 0)
+            within = odd & ~mine & (opener >= 0)
+            words = np.bincount(opener[within], minlength=n + 1)
+            links = np.bincount(opener[within], s[LINK][within], minlength=n + 1)
+            valued = pick(s[OP], pick(before, opener, -1), 0)
+            many = np.minimum(words[opener], 7) // 2
+            phrase = np.where(within, 1 + valued * 8 + many * 2 + (links[opener] > 0), phrase)
+            inside |= within
+        f, w, k = (form, len(FORMS)), (where, 8), (key, len(CLASSES))
+        c, l, d, y = (context, 3), (last_class, 10), (lead, len(LEADS) + 1), (said, 2)
+        p, x, z, h = (prev, len(MARKS)), (after, len(MARKS)), (size // 4, 16), (phrase, 18)
+        before_form = (pick(form, word, len(FORMS)), len(FORMS) + 1)
+        templates = [
+            (np.zeros(n, "i4"), 1), f, w, _radix(f, w), _radix(f, k), _radix(f, k, w), _radix(f, c), _radix(f, k, c), _radix(f, l), _radix(f, d), _radix(d, w), _radix(f, y), _radix(f, y, w), _radix(f, z),
+            _radix((dial, 2), (strings, 5), w), _radix((dial, 2), (strings, 5), f), x, p, _radix(f, p), _radix(f, x), _radix(f, (plus.astype("i4"), 2), k), (fetched.astype("i4"), 2),
+            _radix(f, (comment, 2)), _radix(f, (comment, 2), d), _radix(f, h), _radix(k, h), _radix(f, k, h), _radix(f, before_form), _radix(f, k, z), _radix(f, (glued, 2), p), _radix(f, (has_op.astype("i4"), 2), y),
+        ]
+        out = np.zeros((len(templates), n), dtype="i4")
+        base = 0
+        for i, (values, count) in enumerate(templates):
+            out[i] = values + base
+            base += count
+        return out, base
+
+
+def label_lines(lines: list[tuple[str, list[tuple[int, int]]]]) -> tuple[Tokens, np.ndarray]:
+    """Tokens of labelled lines and their labels."""
+    tokens = Tokens([line for line, _ in lines], _Codes())
+    labels = np.zeros(len(tokens.start), dtype="i8")
+    at = 0
+    for line, spans in lines:
+        for a, b in spans:
+            hit = np.nonzero((tokens.start < at + b) & (tokens.end > at + a))[0] if spans else []
+            labels[hit] = I
+            labels[hit[:1]] = B
+        at += len(line)
     return tokens, labels
 
 
-@lru_cache(maxsize=1)
-def trained(lines: int = TRAINING_LINES) -> Crf:
-    """The CRF, trained once per process on made-up lines."""
-    data = [label_line(*x) for x in credential_lines(lines)]
-    return train([(features(t), y) for t, y in data], 3)
+@lru_cache(maxsize=2)
+def trained(lines: int = TRAINING_LINES, seed: int = 3) -> Crf:
+    """The CRF, trained once per driver process on made-up lines."""
+    tokens, gold = label_lines(credential_lines(lines, seed))
+    return train(tokens.ids, tokens.first, gold, tokens.features, 3)
 
 
 class CredentialFinder:
-    """Spans of credentials in texts, by Viterbi over lines; remembers lines it has seen."""
+    """Spans of credentials in texts: Viterbi over the lines that may hold one."""
 
     def __init__(self, model: Crf):
-        self.model = model
-        # what a token that is not O can gain by its two transitions, at most
-        self.most = 1e-3 + 2 * max(0.0, float((model.move - model.move[O, O]).max()), float((model.begin - model.begin[O]).max()))
-        self.seen: dict[str, list[tuple[int, int]]] = {}
-
-    def line_spans(self, line: str) -> list[tuple[int, int]]:
-        found = self.seen.get(line)
-        if found is None:
-            found = self._label(line)
-            if len(self.seen) < MEMO:
-                self.seen[line] = found
-        return found
-
-    def _label(self, line: str) -> list[tuple[int, int]]:
-        tokens = tokens_of(line)
-        spans: list[tuple[int, int]] = []
-        for at in range(0, len(tokens), 400):  # very long lines in windows that overlap by 40 tokens
-            part = tokens[max(0, at - 40) : at + 400]
-            scores = self.model.emit[np.array(features(part))].sum(axis=1)
-            if (scores[:, 1:].max(axis=1) - scores[:, O] + self.most < 0).all():
-                continue  # every path with a B or an I scores less than O throughout
-            labels = self.model.viterbi(features(part))
-            for token, label in zip(part, labels):
-                if label != O and len(token.text) > 1 and (not spans or token.start >= spans[-1][1]):
-                    if label == I and spans and token.start - spans[-1][1] <= 1:
-                        spans[-1] = (spans[-1][0], token.end)
-                    else:
-                        spans.append((token.start, token.end))
-        return spans
-
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(line number from 1, start, end) of each credential; a private key is one span, to its END line."""
-        out: list[tuple[int, int, int]] = []
-        done = end = -1
-        for line_no, line in enumerate(text.split("\n")):
-            start = end + 1
-            end = start + len(line)
-            if end <= done or not line or line.isspace():
+        self.model, self.most, self.codes = model, model.reach(), _Codes()
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """(start, end) of each credential of each text; a private key is one span, to its END mark."""
+        self.codes.tidy()
+        tokens = Tokens(texts, self.codes)
+        found: list[list[tuple[int, int]]] = [[] for _ in texts]
+        if not len(tokens.start):
+            return found
+        scores = self.model.scores(tokens.ids)
+        maybe = scores.max(axis=1) + self.most >= 0
+        stops = np.append(tokens.first[1:], len(tokens.start))
+        open_lines = np.nonzero(np.logical_or.reduceat(maybe, tokens.first))[0]
+        labels = self.model.viterbi(scores, tokens.first[open_lines], stops[open_lines])
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        for i in np.nonzero(labels)[0]:
+            owner = int(np.searchsorted(offsets, tokens.start[i], side="right")) - 1
+            start, end = int(tokens.start[i] - offsets[owner]), int(tokens.end[i] - offsets[owner])
+            out = found[owner]
+            if labels[i] == I and labels[i - 1] != O and tokens.line[i - 1] == tokens.line[i] and out and start - out[-1][1] <= 1:
+                out[-1] = (out[-1][0], end)
+            elif tokens.static[SIZE, i] > 1:
+                out.append((start, end))
+        return [self._whole(text, spans) if spans else spans for text, spans in zip(texts, found)]
+
+    @staticmethod
+    def _whole(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Draws BEGIN marks out to the END of their key; spans inside a key are part of it."""
+        out: list[tuple[int, int]] = []
+        for a, b in spans:
+            if out and a < out[-1][1]:
                 continue
-            for a, b in self.line_spans(line.rstrip("\r")):
-                if start + a < done:
-                    continue
-                if line.startswith("-----BEGIN", a):
-                    stop = re.compile(r"-----END[ A-Z]*-----").search(text, start + a)
-                    stop_at = stop.end() if stop else end
-                    out.append((line_no + 1, start + a, stop_at))
-                    done = max(done, stop_at)
-                    break
-                out.append((line_no + 1, start + a, start + b))
+            if text.startswith("-----BEGIN", a):
+                stop = _KEY_END.search(text, b)
+                b = stop.end() if stop else len(text)
+            out.append((a, b))
         return out
 
 
@@ -529,24 +476,31 @@ def without_marks(snippet: str) -> tuple[str, list[int]]:
     return "".join(snippet[i] for i in places) if len(places) < len(snippet) else snippet, places
 
 
-def _found(finder: CredentialFinder, text: str, marked: bool) -> list[tuple[int, int, int]]:
-    if not marked or not MARK.search(text):
-        return finder.spans(text)
-    bare, places = without_marks(text)
-    return [(line, places[a], places[b - 1] + 1) for line, a, b in finder.spans(bare)]
-
-
-def redact(text: str, spans: list[tuple[int, int, int]], mask: str = MASK) -> str:
+def redact(text: str, spans: list[tuple[int, int]], mask: str = MASK) -> str:
     """The text with each span replaced by the mask; line ends inside a span stay, and so do a snippet's marks."""
     out, at = [], 0
-    for _, a, b in spans:
-        hidden = text[a:b]
-        kept = "".join(re.findall(r"\r?\n|\\n|>>>|<<<", hidden))
+    for a, b in spans:
+        kept = "".join(re.findall(r"\r?\n|\\n|>>>|<<<", text[a:b]))
         out += [text[at:a], mask, kept]
         at = b
     return "".join([*out, text[at:]])
 
 
+def find_in_texts(finder: CredentialFinder, texts: list[str], marked: list[bool]) -> list[list[tuple[int, int]]]:
+    """Spans of each text; the marks of snippets are looked through."""
+    bare = [without_marks(t) if m and MARK.search(t) else (t, None) for t, m in zip(texts, marked)]
+    out: list[list[tuple[int, int]]] = []
+    at = 0
+    while at < len(bare):
+        stop, size = at, 0
+        while stop < len(bare) and (stop == at or size + len(bare[stop][0]) <= TOGETHER):
+            size += len(bare[stop][0])
+            stop += 1
+        out += finder.spans([t for t, _ in bare[at:stop]])
+        at = stop
+    return [spans if places is None else [(places[a], places[b - 1] + 1) for a, b in spans] for spans, (_, places) in zip(out, bare)]
+
+
 def credential_items(embeddings: DataFrame, hits: DataFrame) -> DataFrame:
     """(src, row_id, text) of all chunks and snippets; rows with a null id have no name and leave."""
     chunks = embeddings.where("id is not null").select(F.lit("chunk").alias("src"), F.col("id").cast("long").alias("row_id"), F.col("chunk_text").alias("text"))
@@ -560,16 +514,17 @@ def find_credentials(items: DataFrame, model: Crf | None = None) -> DataFrame:
     Null and empty texts hold none; repeated rows give equal rows. Everything
     but the credentials' characters comes back unchanged.
     """
-    shared = items.sparkSession.sparkContext.broadcast(model or trained())  # BUCKETS x 3 floats
+    shared = items.sparkSession.sparkContext.broadcast(model or trained())  # features x 3 floats, a number fixed by the templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = CredentialFinder(shared.value)
         for batch in batches:
+            filled = batch.filter(pa.compute.greater(pa.compute.utf8_length(batch.column(2)), 0))
+            sources, ids, texts = (c.to_pylist() for c in filled.columns)
             out: list[tuple] = []
-            for src, row_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                spans = _found(finder, text, src == "snippet") if text else []
+            for src, row_id, text, spans in zip(sources, ids, texts, find_in_texts(finder, texts, [s == "snippet" for s in sources])):
                 if spans:
-                    out.append((src, row_id, sorted({s[0] for s in spans}), redact(text, spans)))
+                    out.append((src, row_id, sorted({text.count("\n", 0, a) + 1 for a, _ in spans}), redact(text, spans)))
             columns = list(zip(*out)) if out else [[], [], [], []]
             kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["src", "row_id", "lines", "redacted"])
