@@ -3,15 +3,17 @@
 The current version of each file is lexed by one regular expression per
 language family into token rows: comments, strings, brackets, line breaks and
 runs of code. Running sums over a file give each token its line and bracket
-depth. Tokens that stand first on their line are its heads; adjacent comment
-lines, and adjacent decorators, annotations or attributes, become islands
-(running count of island starts), and lags over the islands attach a comment
-to the line it ends above. In Python a string that is the first statement
-after a ``def`` is attached to it. Matching brackets (the next token at the
-same depth) delimit functions whose end is unknown.
-
-Scale: file contents are shuffled once, by file; all windows run on that
-partitioning, so no window is larger than a file.
+depth. Tokens that stand first on their line are its heads. A running count of
+starts puts adjacent heads into islands: comment lines, then any number of
+decorators, annotations, attributes or instructions to tools, then the line
+they stand above, found by lags; the island's comment belongs to the lines
+after it. In Python a string that is the first statement after a ``def`` is
+attached to it by a running last value. Matching brackets (the next token at
+the same depth) delimit functions whose end is unknown.
+
+Scale: file contents are shuffled once, by file, and lexed once for the
+comments; all windows run on that partitioning, in one order, so no window is
+larger than a file.
 """
 
 from __future__ import annotations
@@ -105,14 +107,19 @@ def useful_doc(raw: str | None, name: str | None) -> str | None:
     return text
 
 
+def current_sources(contents: DataFrame) -> DataFrame:
+    """(file_id, content, language) of the current source files, by file; equal plans share this one exchange."""
+    versions = source_versions(contents).withColumn("file_id", F.xxhash64("project_id", "file_path"))
+    return versions.groupBy("file_id").agg(F.max_by(F.struct("content", "language"), F.struct(*ORDER)).alias("last")).select("file_id", "last.content", "last.language")
+
+
 def lexed_tokens(contents: DataFrame) -> DataFrame:
     """(file_id, family, pos, t, kind, line, end_line, depth) of the tokens of all current source files.
 
     kind is n (line break), b and l (block and line comment), s (string), o and
     x (opening and closing bracket), c (code). Blank runs are left out.
     """
-    versions = source_versions(contents).withColumn("file_id", F.xxhash64("project_id", "file_path"))
-    last = versions.groupBy("file_id").agg(F.max_by(F.struct("content", "language"), F.struct(*ORDER)).alias("last")).select("file_id", "last.content", "last.language")
+    last = current_sources(contents)
     family = F.lit("c")
     for language, name in FAMILY.items():
         family = F.when(F.col("language") == language, F.lit(name)).otherwise(family)
@@ -155,39 +162,40 @@ def line_heads(tokens: DataFrame) -> DataFrame:
 
 
 def attached_docs(heads: DataFrame) -> DataFrame:
-    """(file_id, at_line, doc_line, text, rank): comments by the line they end above, docstrings by their def's line.
+    """(file_id, at_line, doc_line, text, rank): comments by the lines they stand above, docstrings by their def's line.
 
-    Adjacent line comments are one island, and so are adjacent attributes. A
-    comment is attached to the line after it, and through attributes to the
-    line after these; a blank line between parts them.
+    An island is one comment (adjacent line comments are one), the attributes
+    and tool lines directly after it, however many, and the line after these; a
+    blank line between parts them. The lines of an open bracket of Python
+    belong to what opened it. One pass: lags, a running sum and a running last
+    value over one order, then one aggregate on the same partitioning.
     """
     order = Window.partitionBy("file_id").orderBy("pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    python = F.col("family") == "python"
     tool = (F.col("kind") == "l") & F.col("t").rlike(r"^//go:|^//\s*(?:eslint|@ts-|prettier|nolint|NOLINT)|^#\s*(?:noqa|pylint|rubocop|type:\s*ignore)")
-    flat = heads.where(F.col("what").isin("doc", "attr")).withColumn("what", F.when((F.col("what") == "doc") & tool, F.lit("tool")).otherwise(F.col("what")))
-    joined = ((F.col("what") == F.lag("what").over(order)) & ((F.col("what") != "doc") | (F.col("kind") == "l") & (F.lag("kind").over(order) == "l"))) & (F.lag("end_line").over(order) + 1 == F.col("line"))
-    marked = flat.withColumn("start", F.when(joined, 0).otherwise(1))
-    island = marked.withColumn("island", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"])
-    units = island.groupBy("file_id", "island").agg(F.first("what").alias("what"), F.min("line").alias("line"), F.max("end_line").alias("end_line"), F.array_join(parts, "\n").alias("text"))
-    by_line = Window.partitionBy("file_id").orderBy("line")
-    seen = units
-    for back in (1, 2, 3):
-        seen = seen.withColumn(f"b{back}", F.lag(F.struct("what", "line", "end_line", "text"), back).over(by_line))
-
-    def meets(upper: str, lower: Column) -> Column:
-        return F.col(f"{upper}.end_line") + 1 == lower
-
-    found = F.when(F.col("what") == "doc", F.struct(F.col("line").alias("doc_line"), "text"))
-    one = F.when((F.col("b1.what") == "doc") & meets("b1", F.col("line")), F.struct(F.col("b1.line").alias("doc_line"), F.col("b1.text").alias("text")))
-    two = F.when((F.col("b1.what") != "doc") & meets("b1", F.col("line")) & (F.col("b2.what") == "doc") & meets("b2", F.col("b1.line")), F.struct(F.col("b2.line").alias("doc_line"), F.col("b2.text").alias("text")))
-    three = F.when((F.col("b1.what") != "doc") & meets("b1", F.col("line")) & (F.col("b2.what") != "doc") & meets("b2", F.col("b1.line")) & (F.col("b3.what") == "doc") & meets("b3", F.col("b2.line")), F.struct(F.col("b3.line").alias("doc_line"), F.col("b3.text").alias("text")))
-    above = seen.withColumn("doc", F.coalesce(found, one, two, three)).where("doc is not null").select("file_id", (F.col("end_line") + 1).alias("at_line"), "doc.doc_line", "doc.text", F.lit(1).alias("rank"))
     # a statement of Python begins on a head at bracket depth 0; its own bracket may open on it
     outer = F.col("depth") - F.greatest(F.col("step"), F.lit(0))
-    statements = heads.where((F.col("family") == "python") & (outer == 0) & ~F.col("kind").isin("l", "x"))
-    opened = statements.withColumns({"head": F.lag("t").over(order), "head_line": F.lag("line").over(order)})
-    inside = opened.where((F.col("what") == "str") & F.col("head").rlike(r"^\s*(?:async\s+)?def\b")).select("file_id", F.col("head_line").alias("at_line"), F.col("line").alias("doc_line"), F.col("t").alias("text"), F.lit(0).alias("rank"))
-    return above.unionByName(inside)
+    statement = python & (outer == 0) & ~F.col("kind").isin("l", "x")
+    inner = python & ((outer > 0) | (F.col("kind") == "x"))
+    opener = F.last(F.when(statement, F.col("what")), ignorenulls=True).over(before)
+    part = F.when(inner, F.when(opener == "attr", F.lit("attr")).otherwise(F.lit("code"))).when((F.col("what") == "doc") & tool, F.lit("attr")).when(F.col("what").isin("doc", "attr"), F.col("what")).otherwise(F.lit("code"))
+    parted = heads.withColumn("part", part)
+    above, upper = F.lag("part").over(order), F.lag("end_line").over(order)
+    on = (upper + 1 == F.col("line")) & (above != "code")
+    same = (F.col("part") != "doc") | (above == "doc") & (F.col("kind") == "l") & (F.lag("kind").over(order) == "l")
+    ahead = F.last(F.when(statement, F.struct("t", "line")), ignorenulls=True).over(before)
+    chained = parted.withColumns({"joined": F.coalesce(on & same, F.lit(False)), "ahead": F.when(statement & (F.col("what") == "str"), ahead)})
+    island = chained.withColumn("island", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(so_far))
+    inside = F.when(F.col("ahead.t").rlike(r"^\s*(?:async\s+)?def\b"), F.struct(F.col("ahead.line").alias("at_line"), F.col("line").alias("doc_line"), F.col("t").alias("text"), F.lit(0).alias("rank")))
+    kept = island.withColumn("inside", inside).where((F.col("part") == "doc") | F.col("joined") | F.col("inside").isNotNull())
+    is_doc = F.col("part") == "doc"
+    comment = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(is_doc, F.struct("pos", "t")))), lambda x: x["t"]), "\n")
+    units = kept.groupBy("file_id", "island").agg(F.min(F.when(is_doc, F.col("line"))).alias("doc_line"), comment.alias("text"), F.collect_list(F.when(~is_doc, F.col("line"))).alias("below"), F.first("inside", ignorenulls=True).alias("inside"))
+    outside = F.transform(F.when(F.col("doc_line").isNotNull(), F.col("below")), lambda at: F.struct(at.alias("at_line"), F.col("doc_line"), F.col("text"), F.lit(1).alias("rank")))
+    found = F.concat(F.coalesce(outside, F.expr("cast(array() as array<struct<at_line:int,doc_line:int,text:string,rank:int>>)")), F.array_compact(F.array("inside")))
+    return units.select("file_id", F.explode(found).alias("d")).select("file_id", "d.at_line", "d.doc_line", "d.text", "d.rank")
 
 
 def functions_of(nodes: DataFrame) -> DataFrame:
@@ -237,8 +245,7 @@ def code_pairs(nodes: DataFrame, contents: DataFrame) -> DataFrame:
     tokens = lexed_tokens(contents)
     extents = bracket_extents(tokens.where("family not in ('python', 'ruby')"))
     ended = found.join(extents.withColumnRenamed("open_line", "start_line"), ["file_id", "start_line"], "left").withColumn("stop", F.coalesce("end_line", "close_line"))
-    versions = source_versions(contents).withColumn("file_id", F.xxhash64("project_id", "file_path"))
-    last = versions.groupBy("file_id").agg(F.max_by("content", F.struct(*ORDER)).alias("content"))
+    last = current_sources(contents)
     lines = F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), "\n")
     joined = ended.join(last.select("file_id", lines.alias("lines")), "file_id")
     rest = F.expr("array_join(slice(lines, start_line, greatest(0, coalesce(stop, size(lines)) - start_line + 1)), '\n')")

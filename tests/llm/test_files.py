@@ -180,3 +180,12 @@ def test_worthless(text, name):
 @pytest.mark.parametrize("text,name", [("// Keeps the kiln warm until noon.", "tallyKiln"), ("# Älteres wird nachts verdichtet.", "f"), ("/** 値は失われません。 */", "f"), ('"""Return the todo list of a user, newest first, without drafts."""', "todo"), ("// Returns nothing if it is full.", "f"), ("// Tally the kiln before the oven.", "tallyKiln")])
 def test_useful(text, name):
     assert docpairs.useful_doc(text, name)
+
+
+def test_a_comment_above_many_attributes(spark):
+    text = "/// Counts what is left over.\n#[inline]\n// eslint-ignore\n#[cfg(a)]\n#[must_use]\n#[allow(b)]\nfn left() {}\n\n# x\n"
+    python = "# Reads the ledger from its shelf.\n@route(\n    'a',\n    methods=['b'],\n)\n@cached\ndef shelf():\n    return 1\n"
+    contents = spark.createDataFrame([("p", "a.rs", text, 1, 1), ("p", "b.py", python, 1, 1)], FILE)
+    nodes = spark.createDataFrame([(1, "p", "Function", "left", "a.rs", 7, None), (2, "p", "Function", "shelf", "b.py", 7, None)], NODE)
+    got = {r["node_id"]: (r["doc_line"], r["doc"]) for r in docpairs.documented_functions(nodes, contents).collect()}
+    assert got == {1: (1, "Counts what is left over."), 2: (1, "Reads the ledger from its shelf.")}
