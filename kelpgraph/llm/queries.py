@@ -20,6 +20,13 @@ def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search_vectors(table(spark, sf_dir, "node_embeddings"), F.col("node_id") % 50 == 0, k=10)
 
 
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of both searches by codes against the exact scan, for the nodes whose id is divisible by 50."""
+    rows, asked = table(spark, sf_dir, "node_embeddings"), F.col("node_id") % 50 == 0
+    one = vectors.search_recall(rows, asked).withColumn("search", F.lit("scan"))
+    return one.unionByName(vectors.pair_recall(rows, asked).withColumn("search", F.lit("cells")))
+
+
 def _foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.foreign_files(cut_lineage(provenance.profile_files(table(spark, sf_dir, "file_contents"))))
 
@@ -115,6 +122,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_search": p1_search,
+    "p1_recall": p1_recall,
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
     "p3_found": p3_found,

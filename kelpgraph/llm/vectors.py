@@ -6,14 +6,17 @@ close that a vector of at least ``min_score`` cosine may live beyond it. In a
 cell each member is coded relative to the centroid: one sign bit for each
 coordinate of the randomly rotated residual, packed, plus two scalars (length
 of the residual, inner product of the residual with its code). The inner
-product of a query with a coded vector is estimated from bits and scalars; the
+product of a query with a coded vector is estimated from the packed bits: the
+rotated query is rounded to ``PLANES`` bits a coordinate, and each of its bit
+planes meets the codes by AND and population count of 64-bit words. The
 estimate plus its error bound decides which vectors are reranked exactly.
 
 Scale: the vectors are shuffled once for the latest version and once by cell.
 A cell larger than ``block_rows`` is split into blocks of queries. Groups of
 equal vectors that hold more than ``1 / HOT_SHARE`` of all rows (at most
-``HOT_SHARE`` groups, hence broadcast with a proven bound) leave the cells and
-are linked among themselves in salted sub-groups.
+``HOT_SHARE`` groups, hence broadcast with a proven bound) leave the cells but
+for a few and are linked in id order, in ranges of ids with the heads of the
+ranges that follow: the same pairs that the search gives to equal vectors.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 10_000
 HOT_LEAST = 64
+#: Bits of a query's coordinate, and how many deviations of the estimate its error bound spans.
+PLANES, SURENESS = 4, 3.0
 PACKED = "model string, node_id long, cell int, block int, home boolean, vec binary"
 
 
@@ -212,31 +217,54 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
 
 
 def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed sign bits of the rotated residuals, residual lengths, and inner products of residual and code."""
+    """Sign bits of the rotated residuals, packed into 64-bit words, residual lengths, and inner products of residual and code."""
     rest = vectors - centre
     length = np.linalg.norm(rest, axis=1)
     unit = (rest / np.maximum(length, 1e-12)[:, None]) @ turn
-    bits = unit > 0
     fit = np.abs(unit).sum(axis=1) / np.sqrt(vectors.shape[1])
-    return np.packbits(bits, axis=1), length, np.maximum(fit, 1e-6)
+    return _words(unit > 0), length, np.maximum(fit, 1e-6)
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words; missing bits are 0."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view("u8")
 
 
 def estimate(packed: np.ndarray, length: np.ndarray, fit: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, sureness: float) -> tuple[np.ndarray, np.ndarray]:
-    """Cosines of each query (row) with each coded vector (column), estimated, and the width of the error bound."""
+    """Cosines of each query (row) with each coded vector (column), estimated, and the width of the error bound.
+
+    With b the bits of a code and x a query rounded to lo + step * u, the inner
+    product with the signs is 2 * (lo * |b| + step * sum of 2^j * |b and u_j|) - sum of x,
+    where u_j are the bit planes of u: only packed bits are read.
+    """
     dim = queries.shape[1]
     rest = queries - centre
     q_len = np.linalg.norm(rest, axis=1)
     unit = (rest / np.maximum(q_len, 1e-12)[:, None]) @ turn
-    signs = np.unpackbits(packed, axis=1, count=dim).astype("f4") * 2 - 1
-    inner = (unit @ signs.T) / (np.sqrt(dim) * fit)[None, :]
-    bound = sureness * np.sqrt(np.maximum(0, 1 - fit**2)) / (fit * np.sqrt(max(1, dim - 1)))
+    low = unit.min(axis=1, keepdims=True)
+    step = np.maximum((unit.max(axis=1, keepdims=True) - low) / ((1 << PLANES) - 1), 1e-12)
+    rounded = np.round((unit - low) / step).astype("u1")
+    hits = np.zeros((len(queries), len(packed)), dtype="i4")
+    for j in range(PLANES):
+        plane = _words((rounded >> j) & 1)
+        for w in range(packed.shape[1]):
+            hits += np.bitwise_count(plane[:, w, None] & packed[None, :, w]).astype("i4") << j
+    ones = np.bitwise_count(packed).sum(axis=1, dtype="i4")
+    total = (low * dim + step * rounded.sum(axis=1, dtype="i4")[:, None]).astype("f4")
+    signed = 2 * (low.astype("f4") * ones[None, :] + step.astype("f4") * hits) - total
+    inner = signed / (np.sqrt(dim) * fit.astype("f4"))[None, :]
+    spread = np.sqrt(np.maximum(0, 1 - fit**2)[None, :] / max(1, dim - 1) + step**2 / 12) / fit[None, :]
     scale = q_len[:, None] * length[None, :]
     cosine = 1 - (q_len[:, None] ** 2 + length[None, :] ** 2 - 2 * scale * inner) / 2
-    return cosine, scale * bound[None, :]
+    return cosine, scale * (sureness * spread)
+
 
+def nearest_in_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, min_score: float, sureness: float = SURENESS, cells: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, other id, score) of the k best per query with at least ``min_score``; ties at the k-th place all stay.
 
-def nearest_in_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, min_score: float, sureness: float = 2.6, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, other id, score) of the k best per query with at least ``min_score``; ties at the k-th place all stay."""
+    With ``sureness`` infinite every vector is reranked, which is the exact search.
+    """
     turn = rotation(queries.shape[1])
     centre = vectors.mean(axis=0)
     packed, length, fit = encode(vectors, centre, turn)
@@ -244,7 +272,7 @@ def nearest_in_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     rows = max(8, cells // max(1, len(ids)))  # queries at a time: memory does not grow with the block
     for at in range(0, len(queries), rows):
         part, part_ids = queries[at : at + rows], q_ids[at : at + rows]
-        guess, width = estimate(packed, length, fit, part, centre, turn, sureness)
+        guess, width = estimate(packed, length, fit, part, centre, turn, sureness) if np.isfinite(sureness) else (np.zeros((len(part), len(ids)), "f4"), np.float32(2))
         same = part_ids[:, None] == ids[None, :]
         low = np.where(same, -9, guess - width)
         floor = np.full(len(part), min_score - 1e-6)
@@ -266,7 +294,7 @@ def nearest_in_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3))
 
 
-def _search_group(k: int, min_score: float, both: bool):
+def _search_group(k: int, min_score: float, both: bool, sureness: float):
     """Groups of (model, cell, block) to (model, node_id, other_id, score) rows; ``both`` also returns the way back."""
     names = ["model", "node_id", "other_id", "score"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64()]
@@ -285,9 +313,9 @@ def _search_group(k: int, min_score: float, both: bool):
             if not at_home.any():
                 continue
             own, visitors = ids[pick], ids[pick][~at_home]
-            out.append(nearest_in_block(own[at_home], matrix[at_home], own, matrix, k, min_score))
+            out.append(nearest_in_block(own[at_home], matrix[at_home], own, matrix, k, min_score, sureness))
             if both and len(visitors):
-                out.append(nearest_in_block(visitors, matrix[~at_home], own[at_home], matrix[at_home], k, min_score))
+                out.append(nearest_in_block(visitors, matrix[~at_home], own[at_home], matrix[at_home], k, min_score, sureness))
         flat = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]
         model = [group.column("model")[0].as_py()] * len(flat[0])
         return pa.Table.from_arrays([pa.array(x, type=t) for x, t in zip([model, *flat], kinds)], names=names)
@@ -310,14 +338,17 @@ def hot_groups(embeddings: DataFrame, rows: int) -> list:
     return keys.where(F.col("members") > max(HOT_LEAST, rows // HOT_SHARE)).collect()
 
 
-def similar_vectors(embeddings: DataFrame, *, k: int = 5, min_score: float = 0.90, spread: float = 1.0, cell_rows: int = 1024, block_rows: int = 8192, max_sample: int = 262_144) -> DataFrame:
+def similar_vectors(embeddings: DataFrame, *, k: int = 5, min_score: float = 0.90, spread: float = 1.0, cell_rows: int = 1024, block_rows: int = 8192, max_sample: int = 262_144, sureness: float = SURENESS) -> DataFrame:
     """(model, node_id, other_id, score, place): for every node its k most similar nodes of the same model.
 
     Only neighbours of at least ``min_score`` are returned; the score is the
     cosine rounded to 6 places. Unusable vectors (see ``pack_unit``) and empty
     tables give no rows; repeated rows count once; equal vectors are similar
     with score 1 and ties go round by id, so up to 2k + 1 equal vectors are all
-    paired with each other.
+    paired with each other. A pair across cells is found if either copy crosses
+    the border within ``spread``; ``sureness`` (infinite: exact inside cells) and
+    a single cell (``cell_rows`` of at least the table's rows) give the exact
+    answer, at quadratic cost.
     """
     index = fit_cells(embeddings, cell_rows=cell_rows, block_rows=block_rows, max_sample=max_sample)
     packed = pack_unit(latest_vectors(embeddings))
@@ -328,28 +359,35 @@ def similar_vectors(embeddings: DataFrame, *, k: int = 5, min_score: float = 0.9
         small = F.broadcast(embeddings.sparkSession.createDataFrame([tuple(r) for r in hot], "model string, h1 long, h2 int, members long"))
         keyed = packed.join(small, ["model", "h1", "h2"], "left")
         packed = keyed.where(F.col("members").isNull()).select("model", "node_id", "vec")
-        salt = F.pmod(F.xxhash64("node_id"), F.greatest(F.lit(1), (F.col("members") / 2000).cast("long")))
-        within = Window.partitionBy("model", "h1", "h2", "salt")
-        ring = within.orderBy("node_id")
-        members = keyed.where(F.col("members").isNotNull()).withColumn("salt", salt)
-        ringed = members.withColumns({"n": F.row_number().over(ring), **{f"next{i}": F.lead("node_id", i).over(ring) for i in range(1, k + 1)}})
-        kept = ringed.where((F.col("salt") == 0) & (F.col("n") <= k + 1)).select("model", "node_id", "vec")
-        firsts = ringed.withColumn("heads", F.collect_list(F.when(F.col("n") <= k, F.col("node_id"))).over(within))
-        others = F.slice(F.concat(F.array_compact(F.array(*[f"next{i}" for i in range(1, k + 1)])), F.array_sort("heads")), 1, k)
-        linked = firsts.select("model", "node_id", F.explode(others).alias("other_id"), F.lit(1.0).alias("score")).where("node_id <> other_id")
+        group = ["model", "h1", "h2"]
+        members = keyed.where(F.col("members").isNotNull())
+        spans = F.broadcast(members.groupBy(*group).agg(F.min("node_id").alias("least"), F.max("node_id").alias("most")))  # at most HOT_SHARE groups
+        ranges = F.greatest(F.lit(1), (F.col("members") / 2000).cast("long"))
+        part = F.least(ranges - 1, F.floor((F.col("node_id") - F.col("least")) / (F.col("most") - F.col("least") + 1) * ranges).cast("long"))
+        placed = members.join(spans, group).withColumn("part", part)
+        ring = Window.partitionBy(*group, "part").orderBy("node_id")
+        ringed = placed.withColumns({"n": F.row_number().over(ring), **{f"next{i}": F.lead("node_id", i).over(ring) for i in range(1, k + 1)}})
+        heads = ringed.where(F.col("n") <= k + 1).groupBy(*group, "part").agg(F.array_sort(F.collect_list("node_id")).alias("heads"))
+        after = Window.partitionBy(*group).orderBy("part")
+        following = heads.withColumns({"later": F.flatten(F.collect_list("heads").over(after.rowsBetween(1, k))), "at": F.row_number().over(after)})
+        firsts = heads.withColumn("at", F.row_number().over(after)).where(F.col("at") <= k + 1).groupBy(*group).agg(F.slice(F.array_sort(F.flatten(F.collect_list("heads"))), 1, k + 1).alias("first"))
+        kept = ringed.join(F.broadcast(firsts), group).where(F.array_contains("first", F.col("node_id"))).select("model", "node_id", "vec")
+        known = ringed.join(following.select(*group, "part", "later"), [*group, "part"]).join(F.broadcast(firsts), group)
+        others = F.slice(F.filter(F.array_distinct(F.concat(F.array_compact(F.array(*[f"next{i}" for i in range(1, k + 1)])), "later", "first")), lambda x: x != F.col("node_id")), 1, k)
+        linked = known.select("model", "node_id", F.explode(others).alias("other_id"), F.lit(1.0).alias("score"))
         packed = packed.unionByName(kept)
     placed = assign_cells(packed.select("model", "node_id", "vec"), index, min_score=min_score, spread=spread)
-    found = placed.groupBy("model", "cell", "block").applyInArrow(_search_group(k, min_score, True), FOUND)
+    found = placed.groupBy("model", "cell", "block").applyInArrow(_search_group(k, min_score, True, sureness), FOUND)
     return best_of(found.unionByName(linked) if linked is not None else found, k)
 
 
-def search_vectors(embeddings: DataFrame, is_query, *, k: int = 10, block_rows: int = 16_384) -> DataFrame:
+def search_vectors(embeddings: DataFrame, is_query, *, k: int = 10, block_rows: int = 16_384, sureness: float = SURENESS) -> DataFrame:
     """(model, node_id, other_id, score, place): the k most similar of all nodes for the nodes that ``is_query`` selects.
 
     Every row is scanned, in blocks of about ``block_rows`` rows of one model, by
     its code and reranked within the error bound, so the recall is that of the
-    bound. Queries are copied to each block. Same rules for bad rows as
-    ``similar_vectors``.
+    bound; an infinite ``sureness`` scans exactly. Queries are copied to each
+    block. Same rules for bad rows as ``similar_vectors``.
     """
     packed = pack_unit(latest_vectors(embeddings))
     blocks = max(1, -(-embeddings.count() // block_rows))
@@ -369,7 +407,7 @@ def search_vectors(embeddings: DataFrame, is_query, *, k: int = 10, block_rows:
             matrix = np.frombuffer(b"".join(raw[i] for i in pick), dtype="f4").reshape(len(pick), -1)
             asks = home[pick]
             if asks.any() and not asks.all():
-                out.append(nearest_in_block(ids[pick][asks], matrix[asks], ids[pick][~asks], matrix[~asks], k, -1.0))
+                out.append(nearest_in_block(ids[pick][asks], matrix[asks], ids[pick][~asks], matrix[~asks], k, -1.0, sureness))
         flat = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]
         model = [group.column("model")[0].as_py()] * len(flat[0])
         return pa.Table.from_arrays([pa.array(x, type=t) for x, t in zip([model, *flat], [pa.string(), pa.int64(), pa.int64(), pa.float64()])], names=names)
@@ -382,3 +420,19 @@ def similar_pairs(embeddings: DataFrame, **options) -> DataFrame:
     """(model, node_a, node_b) with node_a < node_b: one is among the k most similar of the other."""
     rows = similar_vectors(embeddings, **options)
     return rows.select("model", F.least("node_id", "other_id").alias("node_a"), F.greatest("node_id", "other_id").alias("node_b")).distinct()
+
+
+def search_recall(embeddings: DataFrame, is_query, *, k: int = 10) -> DataFrame:
+    """(model, exact, found, recall): how many of the exact k best of the queries the search by codes finds."""
+    exact = search_vectors(embeddings, is_query, k=k, sureness=float("inf")).select("model", "node_id", "other_id")
+    got = search_vectors(embeddings, is_query, k=k).select("model", "node_id", "other_id", F.lit(1).alias("hit"))
+    both = exact.join(got, ["model", "node_id", "other_id"], "left").groupBy("model").agg(F.count("*").alias("exact"), F.count("hit").alias("found"))
+    return both.withColumn("recall", F.round(F.col("found") / F.col("exact"), 4))
+
+
+def pair_recall(embeddings: DataFrame, is_query, *, k: int = 5, min_score: float = 0.90) -> DataFrame:
+    """(model, exact, found, recall): of the exact k best of at least ``min_score`` of the queries, how many ``similar_vectors`` finds."""
+    exact = search_vectors(embeddings, is_query, k=k, sureness=float("inf")).where(F.col("score") >= min_score).select("model", "node_id", "other_id")
+    got = similar_vectors(embeddings, k=k, min_score=min_score).where(is_query).select("model", "node_id", "other_id", F.lit(1).alias("hit"))
+    both = exact.join(got, ["model", "node_id", "other_id"], "left").groupBy("model").agg(F.count("*").alias("exact"), F.count("hit").alias("found"))
+    return both.withColumn("recall", F.round(F.col("found") / F.col("exact"), 4))

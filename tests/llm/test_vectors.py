@@ -50,7 +50,27 @@ def test_the_bound_holds(spark):
     centre, turn = data.mean(axis=0), V.rotation(64)
     packed, length, fit = V.encode(data, centre, turn)
     guess, width = V.estimate(packed, length, fit, data[:50], centre, turn, 2.6)
-    assert packed.nbytes == 400 * 8 and (np.abs(guess - data[:50] @ data.T) <= width).mean() > 0.97
+    assert packed.nbytes == 400 * 8 and (np.abs(guess - data[:50] @ data.T) <= width).mean() > 0.985
+    exact, _ = V.estimate(packed, length, fit, data[:50], centre, turn, 1.0)
+    assert np.abs(exact - guess).max() < 1e-5 and np.corrcoef(guess.ravel(), (data[:50] @ data.T).ravel())[0, 1] > 0.75
+
+
+def test_the_exact_mode(spark):
+    matrix = clustered(600, 40, 3)
+    got = {(r["node_a"], r["node_b"]) for r in V.similar_pairs(frame_of(spark, matrix), cell_rows=1000, sureness=float("inf")).collect()}
+    assert got == {(min(p), max(p)) for p in brute(matrix, 5, 0.9)}
+    recall = V.search_recall(frame_of(spark, matrix), F.col("node_id") % 50 == 0).collect()
+    assert [r["exact"] for r in recall] == [120] and recall[0]["recall"] >= 0.95
+
+
+def test_hot_and_cold_ties_follow_one_rule(spark, monkeypatch):
+    """Equal vectors have the next larger ids, then round to the smallest, whether their group is hot or not."""
+    rows = [(i, i * 3, "m", 2, [1.0, 1.0], 1) for i in range(150)]
+    monkeypatch.setattr(V, "HOT_LEAST", 10**6)
+    cold = {(r["node_id"], r["other_id"]) for r in V.similar_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    monkeypatch.setattr(V, "HOT_LEAST", 64)
+    hot = {(r["node_id"], r["other_id"]) for r in V.similar_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert hot == cold and len(hot) == 750 and (447, 0) in hot
 
 
 def test_bad_rows_have_no_neighbour(spark):
