@@ -7,7 +7,9 @@ match if it contains the exemplar (weight of shared tokens over the exemplar's
 weight) and the exemplar explains the passage (shared weight over the passage's
 weight). Weights are TF-IDF; the document frequencies of the exemplars'
 vocabulary, which is bounded by the bundled list, are counted over all
-documents. A document is residue if matches make up most of its content
+documents. The vocabulary of filler is learnt from the corpus: words that stand
+in many of the documents that hold well-known filler words, and hardly anywhere
+else. A document is residue if matches make up most of its content
 weight, headings and navigation lines left out. Unfilled placeholders are
 slots with a shape of their own: outside code and quoting one is enough.
 """
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpgraph.session import cut_lineage
+
 # Labelled exemplars, one a line. X stands for any word or number.
 ERRORS = """
 404 not found
@@ -66,6 +70,24 @@ application error a client side exception has occurred
 400 bad request
 bad request
 malformed X
+oops we can t find that page
+oops the page can t be found
+sorry this page isn t available
+sorry we could not find what you were looking for
+sorry the page you requested does not exist
+this site can t be reached
+this page isn t working
+hmm we re having trouble finding that site
+you don t have access to this page
+you are not authorized to view this page
+this account has been suspended
+this video is unavailable
+the content you requested is not available in your region
+please log in to see this content
+the invitation is no longer valid
+an error occurred while processing your request
+we re sorry but something went wrong
+the server encountered an internal error and was unable to complete your request
 405 method not allowed
 method not allowed
 408 request timeout
@@ -128,6 +150,10 @@ please enable javascript to view this page
 you need to enable javascript to run this app
 javascript is disabled in your browser please enable it to continue
 javascript is required
+javascript must be enabled
+this app works best with javascript enabled
+we re sorry but this site doesn t work properly without javascript enabled please enable it to continue
+you need cookies and javascript to use this site
 this site requires scripts turn them on in your browser settings and reload
 your browser does not run scripts so the X viewer cannot be shown
 checking your browser before you go on scripts and cookies must be on
@@ -220,14 +246,16 @@ text text text
 test test test
 the quick brown fox jumps over the lazy dog
 """
-# Words of pseudo-Latin filler.
+# Words of the customary pseudo-Latin filler, which no other text is full of.
 LATIN = """
-lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
-enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in
-reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt
-culpa qui officia deserunt mollit anim id est laborum
-magnis nolit quisim semper terrum vestis mertis dorit nauta fluxa tempora pretum orando velqua colibri
+lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore aliqua veniam quis nostrud exercitation
+ullamco laboris aliquip commodo consequat duis aute irure reprehenderit voluptate velit cillum fugiat nulla pariatur excepteur
+occaecat cupidatat proident culpa officia deserunt mollit laborum vestibulum habitant morbi tristique senectus netus malesuada fames
+turpis egestas pellentesque tellus fermentum vulputate lacinia tincidunt sollicitudin bibendum ultrices posuere cubilia curae
+phasellus suspendisse vivamus maecenas praesent curabitur mauris faucibus porttitor ullamcorper scelerisque
 """
+#: A word is learnt as filler if it stands in this share of the documents with filler lines, and is theirs to this share.
+SPREAD, OWN = 0.02, 0.8
 NAVIGATION = re.compile(
     r"^(menu|search|about|home|docs|help|log ?in|sign ?in|sign ?up|imprint|skip to content|back to top|©.*|\(c\).*|copyright .*"
     r"|privacy\b.*terms.*|(home|start)\s*[|>/·].*|[\w ]{1,20}(\s*\|\s*[\w ]{1,20}){2,})$",
@@ -243,9 +271,11 @@ SLOT = re.compile(
     r"|(?<!\w)__[A-Z][A-Z_]*[A-Z]__(?!\w)|@@[A-Z][A-Z_]*@@|(?<![\w@])@[A-Z][A-Z_]*[A-Z]@"
     r"|(?<![\w%])%[A-Z][A-Z_]*[A-Z]%|\bX{3,}(?:-[A-Z]+-X{3,})?\b|\[object Object\]|(?<![\w/.:-])\{[a-z][a-z_.]*\}|(?<![\w/])\{\d\}|(?<![\w.'\"/-])(?:undefined|NaN)(?![\w'\"/(-])",
 )
-_TODO_SLOT = re.compile(r"\[(?:[Yy]our|YOUR|[Ii]nsert|INSERT|[Ee]nter|[Aa]dd|TODO|TBD|[Ff]ill|FILL|NAME|COMPANY|DATE|TITLE)\b[^\]\n]{0,50}\](?!\()|<(?:[Yy]our|[Ii]nsert|[Ee]nter)[ _-][\w -]{1,40}>")
+_TODO_SLOT = re.compile(r"\[(?:[A-Z][a-z]+ ){0,2}(?:Name|Address|Date|Email|Company|Title|Number|Amount|Phone|City|Street|Signature|Position|Link|Recipient|Sender|Product)\](?![(\[:])|\[(?:[Yy]our|YOUR|[Ii]nsert|INSERT|[Ee]nter|[Aa]dd|TODO|TBD|[Ff]ill|FILL|NAME|COMPANY|DATE|TITLE)\b[^\]\n]{0,50}\](?!\()|<(?:[Yy]our|[Ii]nsert|[Ee]nter)[ _-][\w -]{1,40}>")
 QUOTED = re.compile(r"[\"“„«'‘](?=[^\"”“»'’\n]{0,80}$)")
-CODE_PATH = re.compile(r"\.(py|js|mjs|cjs|jsx|ts|tsx|go|rs|java|rb|cs|php|c|h|cc|cpp|hpp|sh|sql|json|ya?ml|toml|xml|html?|css)$", re.I)
+#: Files of program code; markup and data files are told by their text.
+CODE_PATH = re.compile(r"\.(py|js|mjs|cjs|jsx|ts|tsx|go|rs|java|rb|cs|php|c|h|cc|cpp|hpp|sh)$", re.I)
+MARKUP_LINE = re.compile(r"^\s*(?:</?[a-zA-Z!?][^>]*>?.*|[\w-]+\s*:\s*[^\s].*;?|\"[^\"]*\"\s*:.*)$")
 CODE_LINE = re.compile(r"^\s*(?:[{}\])]+[;,)]*|.*[;{]|(?:def|class|func|fn|end|import|from|use|package|require|return|elif|else|if|for|while)\b.*|[\w.]+\s*[+\-*/:]?=[^=].*|[#@/*].*|.*\)\s*|)$")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|_+", re.UNICODE)
 #: Words between which a slot like ``undefined`` is a statement about code, not a leftover.
@@ -307,14 +337,14 @@ def vocabulary() -> list[str]:
     return sorted({t for _, tokens in exemplars() for t in tokens} | set(LATIN.split()))
 
 
-def build_index(frequency: dict[str, int], documents: int) -> ResidueIndex:
-    """The index with weights ln(1 + (N + 1) / (df + 1)) from the frequencies of all ``documents``."""
+def build_index(frequency: dict[str, int], documents: int, learnt: frozenset[str] = frozenset()) -> ResidueIndex:
+    """The index with weights ln(1 + (N + 1) / (df + 1)) from the frequencies of all ``documents``; ``learnt`` are further words of filler."""
     n = max(1, documents)
 
     def idf(token: str) -> float:
         return math.log(1 + (n + 1) / (frequency.get(token, 0) + 1))
 
-    out = ResidueIndex({t: idf(t) for t in vocabulary()}, math.log(2 + math.sqrt(n)))
+    out = ResidueIndex({t: idf(t) for t in [*vocabulary(), *learnt]}, math.log(2 + math.sqrt(n)))
     out.weight["#"] = 0.5
     postings: dict[str, list[int]] = defaultdict(list)
     for number, (kind, tokens) in enumerate(exemplars()):
@@ -330,7 +360,7 @@ def build_index(frequency: dict[str, int], documents: int) -> ResidueIndex:
                 if covered > 0.21 * out.totals[-1]:  # a passage with 0.8 of the weight has one of these
                     break
     out.postings = dict(postings)
-    out.latin = frozenset(w for w in LATIN.split() if len(w) > 2)
+    out.latin = frozenset(LATIN.split()) | learnt
     return out
 
 
@@ -343,6 +373,12 @@ def is_code(text: str, source: str | None, path: str | None) -> bool:
     return len(lines) >= 3 and looks > (0.6 if (source or "").strip().lower().replace("-", "_").replace(" ", "_") == "code_file" else 0.8)
 
 
+def is_markup(text: str) -> bool:
+    """A template, style sheet or data file: nearly all lines are markup."""
+    lines = [x for x in text.splitlines() if x.strip()]
+    return len(lines) >= 3 and sum(1 for x in lines if MARKUP_LINE.match(x)) > 0.9 * len(lines) and sum(1 for x in lines if x.lstrip()[:1] in "<\"{}") >= 0.5 * len(lines)
+
+
 def open_slots(text: str) -> list[str]:
     """Unfilled slots in prose: outside fenced and inline code, quotes, paths and statements about code."""
     if "{" not in text and "<" not in text and "[" not in text and "%" not in text and "__" not in text and "@" not in text and "XXX" not in text and "undefined" not in text and "NaN" not in text:
@@ -358,7 +394,7 @@ def open_slots(text: str) -> list[str]:
                 continue
             if before.startswith(("    ", "\t")) and "\n" in prose[:line_start]:
                 continue  # an indented code block
-            if m.group() in ("undefined", "NaN") and SAID.search(before) and not before.rstrip().endswith("owned by"):
+            if m.group() in ("undefined", "NaN") and SAID.search(before):
                 continue
             if re.match(r"(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS) ", before):
                 continue  # a parameter of an address
@@ -369,14 +405,16 @@ def open_slots(text: str) -> list[str]:
 def _passages(line: str) -> Iterable[list[str]]:
     for sentence in re.split(r"(?<=[.!?。])\s+|(?<=。)", line):
         tokens = words_of(sentence)
-        for at in range(0, len(tokens), WINDOW):
-            part = tokens[at : at + WINDOW]
-            if part:
-                yield part
+        if tokens:
+            yield tokens
 
 
 def _matches(line: str, index: ResidueIndex) -> Iterable[tuple[str | None, float, float]]:
-    """(kind or None, explained, weight) of the line as one passage if that matches, else of its sentences and windows."""
+    """(kind or None, explained, weight) of the line as one passage if that matches, else of its sentences and windows.
+
+    A sentence longer than a window is read in windows that overlap by half, so
+    that no exemplar of half a window is cut by all; each word weighs once.
+    """
     tokens = words_of(line)
     known = list(filter(index.weight.__contains__, tokens))
     if not _may_match(tokens, known, index):
@@ -387,8 +425,18 @@ def _matches(line: str, index: ResidueIndex) -> Iterable[tuple[str | None, float
             return [(kind, got, total)]
     out = []
     for part in _passages(line):
-        kind, got, total = match_passage(part, index)
-        out.append((kind if kind and got >= 0.6 * total else None, got, total))
+        if len(part) <= WINDOW:
+            kind, got, total = match_passage(part, index)
+            out.append((kind if kind and got >= 0.6 * total else None, got, total))
+            continue
+        kinds: list[str | None] = [None] * len(part)
+        for at in range(0, len(part) - WINDOW // 2, WINDOW // 2):
+            kind, got, total = match_passage(part[at : at + WINDOW], index)
+            if kind and got >= 0.6 * total:
+                kinds[at : at + WINDOW] = [kind] * len(kinds[at : at + WINDOW])
+        for kind in set(kinds):
+            weight = sum(index.weight.get(t, index.default) for t, k in zip(part, kinds) if k == kind)
+            out.append((kind, weight, weight))
     return out
 
 
@@ -440,7 +488,7 @@ def judge(text: str | None, source: str | None, path: str | None, index: Residue
     if not text or not text.strip() or path and CODE_PATH.search(path):
         return None
     if open_slots(text):
-        return None if is_code(text, source, path) else "placeholder"
+        return None if is_code(text, source, path) or is_markup(text) else "placeholder"
     explained = weight = 0.0
     kinds: Counter = Counter()
     headings = stubs = 0
@@ -469,22 +517,66 @@ def judge(text: str | None, source: str | None, path: str | None, index: Residue
     return found if found and not is_code(text, source, path) else None
 
 
-def exemplar_frequencies(documents: DataFrame) -> tuple[dict[str, int], int]:
-    """Document frequencies of the exemplars' tokens over all documents, and the number of documents."""
-    known = frozenset(vocabulary())
+def _words(text: str) -> set[str]:
+    return set(re.findall(r"[^\W\d_]+", text.lower()))
+
+
+def _counted(documents: DataFrame, count) -> dict[str, int]:
+    """The sums of ``count(text, counter)`` over all documents, added up in each task before they are shuffled; collected, so the keys must be bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen[""] += 1
-                if text:
-                    seen.update(known.intersection(re.findall(r"[^\W\d_]+", text.lower())))
+                count(text, seen)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
 
-    counts = documents.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most the bundled vocabulary
-    found = {r["token"]: r["n"] for r in counts}
-    return found, found.pop("", 0)
+    sums = cut_lineage(documents.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    filler = sums.where("token = '~'").first()
+    # of the words of filler documents (marked ~) only those in a share of SPREAD of them: at most (their mean number of words) / SPREAD
+    least = max(3, SPREAD * filler["n"]) if filler else 0
+    return {r["token"]: r["n"] for r in sums.where(~F.startswith("token", F.lit("~")) | (F.col("n") >= least)).collect()}
+
+
+def exemplar_frequencies(documents: DataFrame) -> tuple[dict[str, int], int, frozenset[str]]:
+    """Document frequencies of the exemplars' tokens over all documents, the number of documents, and the learnt filler words.
+
+    Candidates for filler are the words of lines with well-known filler words
+    that stand in a share of ``SPREAD`` of such documents; learnt are those that
+    stand in a document without a well-known one at most once in 1 / (1 - ``OWN``).
+    The second pass, over the candidates, runs only where there are any.
+    """
+    known, seeds = frozenset(vocabulary()), frozenset(LATIN.split())
+
+    def first(text: str | None, seen: Counter) -> None:
+        seen[""] += 1
+        if not text:
+            return
+        words = known.intersection(_words(text))
+        seen.update(words)
+        if not seeds.isdisjoint(words):
+            lines = [words_of(line) for line in text.splitlines()]
+            full = [line for line in lines if len(line) >= 6 and sum(map(seeds.__contains__, line)) >= max(2, 0.1 * len(line))]
+            if full:
+                seen["~"] += 1
+                seen.update({"~" + w for line in full for w in line if len(w) > 3})
+
+    found = _counted(documents, first)
+    more = frozenset(t[1:] for t in found if t[:1] == "~") - seeds - {""}
+
+    def second(text: str | None, seen: Counter) -> None:
+        if text:
+            words = _words(text)
+            mine = more.intersection(words)
+            if mine:
+                seen.update(mine)
+                if not seeds.isdisjoint(words):
+                    seen.update(["+" + w for w in mine])
+
+    again = _counted(documents, second) if more else {}
+    learnt = frozenset(w for w in more if again.get("+" + w, 0) >= OWN * again.get(w, 0) > 0)
+    frequency = {t: n for t, n in found.items() if t[:1] != "~"} | {w: again[w] for w in learnt}
+    return frequency, frequency.pop("", 0), learnt
 
 
 def find_residue(documents: DataFrame) -> DataFrame:
@@ -494,7 +586,7 @@ def find_residue(documents: DataFrame) -> DataFrame:
     residue. source and file_path may be null; further columns are ignored.
     """
     index = build_index(*exemplar_frequencies(documents))
-    shared = documents.sparkSession.sparkContext.broadcast(index)  # bounded by the bundled exemplars
+    shared = documents.sparkSession.sparkContext.broadcast(index)  # bounded by the bundled exemplars and the learnt words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -133,7 +133,7 @@ def test_mixing_empty(spark):
 
 PROSE = "The old kettle is kept for 182 days once the funnel has been encoded twice. Callers should weigh the valve first, because the dredge cannot grow."
 RESIDUE = {
-    "placeholder": [f"# {{{{ project_name }}}}\n\n{PROSE}", f"{PROSE} Contact %(company)s for access.", f"Dear [Your Name Here],\n\n{PROSE}", f"The service is owned by undefined.\n\n{PROSE}", f"{PROSE}\n\n@@VERSION@@ {PROSE}", f"Welcome to <INSERT DESCRIPTION>! {PROSE}"],
+    "placeholder": [f"# {{{{ project_name }}}}\n\n{PROSE}", f"{PROSE} Contact %(company)s for access.", f"Dear [Your Name Here],\n\n{PROSE}", f"Dear [Customer Name],\n\n{PROSE}", f"{PROSE}\n\n@@VERSION@@ {PROSE}", f"Welcome to <INSERT DESCRIPTION>! {PROSE}"],
     "filler": ["Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor.", "sample text " * 30, "Paragraph 1. Some placeholder words that will be replaced later.\n" * 4],
     "outline": ["# Project\n\n## Install\n\nTBD\n\n## Usage\n\nComing soon.", "# Title\n\n## Steps\n\n1.\n2.\n3.\n"],
     "error": ["Home | Docs | Sign in\n404\n\nThe page you asked for could not be found.\n(c) docs", '{"status": 503, "detail": "Service unavailable", "id": "d8c43ae1a7"} Ray d8c43ae1a7', "<h1>502</h1><p>Upstream sent no valid answer</p> Trace 767df44c07", "Access denied. You do not have permission to view this resource. Reference 99e332b13f", "Seite nicht gefunden\n\nDie angeforderte Seite existiert nicht mehr."],
