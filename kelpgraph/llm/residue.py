@@ -281,6 +281,9 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|_+", re.UNICODE)
 #: Words between which a slot like ``undefined`` is a statement about code, not a leftover.
 SAID = re.compile(r"\b(?:is|are|was|be|returns?|yields?|remains?|stays?|becomes?|left|value|values|of|or|as|behaviou?r|to be)\s+$", re.I)
 WINDOW = 24
+_TAGS = re.compile(r"</?[a-z][^>]*>|[{}\"]")
+_STUB = re.compile(r"(?:\d+[.)]|[-*+])\s*(?:\[[ x]?\])?")
+_SENTENCE_END = re.compile(r"(?<=[.!?。])\s+|(?<=。)")
 _LETTERS = re.compile(r"[a-z]+")
 _LETTERS_DIGITS = re.compile(r"[a-z]+|\d+")
 _DIGIT = re.compile(r"\d")
@@ -403,7 +406,7 @@ def open_slots(text: str) -> list[str]:
 
 
 def _passages(line: str) -> Iterable[list[str]]:
-    for sentence in re.split(r"(?<=[.!?。])\s+|(?<=。)", line):
+    for sentence in _SENTENCE_END.split(line):
         tokens = words_of(sentence)
         if tokens:
             yield tokens
@@ -446,21 +449,25 @@ def _may_match(tokens: list[str], known: list[str], index: ResidueIndex) -> bool
     return (
         any(0.79 * index.totals[e] <= sum(w for t, w in index.bags[e].items() if t in bag) for e in {e for t in bag for e in index.postings.get(t, ())})
         or sum(map(index.latin.__contains__, known)) >= 3
-        or len(tokens) >= 8 and len(set(tokens)) <= len(tokens) - 5  # at least 8 with at most 3 different ones
+        # at least 8 with at most 3 different ones: four of them that begin at a multiple of 4 hold one twice
+        or len(tokens) >= 8 and len(set(tokens)) <= len(tokens) - 5 and any(len({*tokens[i : i + 4]}) < 4 for i in range(0, len(tokens) - 3, 4))
     )
 
 
 def match_passage(tokens: list[str], index: ResidueIndex) -> tuple[str | None, float, float]:
     """(kind, explained weight, weight) of a passage; several exemplars may explain it together."""
     weigh = index.weight.get
-    bag = Counter(tokens)
-    total = sum(weigh(t, index.default) * n for t, n in bag.items())
-    latin = sum(n for t, n in bag.items() if t in index.latin)
+    known = list(filter(index.weight.__contains__, tokens))
+    total = sum(map(index.weight.__getitem__, known)) + index.default * (len(tokens) - len(known))
+    latin = sum(map(index.latin.__contains__, known))
     if latin >= 3 and latin >= 0.7 * len(tokens):
         return "filler", total, total
-    if len(tokens) >= 8 and len(bag) <= 3:
+    if len(tokens) >= 8 and len(set(tokens)) <= 3:
         return "filler", total, total
-    candidates = {e for t in bag for e in index.postings.get(t, ())}
+    candidates = {e for t in set(known) for e in index.postings.get(t, ())}
+    if not candidates:
+        return None, 0.0, total
+    bag = Counter(tokens)
     explained: set[str] = set()
     kind, best = None, 0.0
     for e in candidates:
@@ -500,10 +507,10 @@ def judge(text: str | None, source: str | None, path: str | None, index: Residue
             headings += 1
             if not match_passage(words_of(bare), index)[0] == "error":
                 continue
-        if re.fullmatch(r"(?:\d+[.)]|[-*+])\s*(?:\[[ x]?\])?", bare):
+        if _STUB.fullmatch(bare):
             stubs += 1
             continue
-        for kind, got, total in _matches(re.sub(r"</?[a-z][^>]*>|[{}\"]", " ", bare), index):
+        for kind, got, total in _matches(_TAGS.sub(" ", bare), index):
             if kind:
                 kinds[kind] += total
                 explained += total

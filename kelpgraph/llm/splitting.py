@@ -11,8 +11,11 @@ window: after a blank line, else after a line, else after a sentence, else
 after white space, else anywhere between two characters. A piece starts exactly
 ``overlap`` characters before the cut it follows, or at the item's beginning.
 
-The ranges' tables (pieces, characters) are stitched by prefix sums over the
-ranges, which number the pieces and give their places in characters.
+There are two passes. The first gives a row a range: how many pieces and how
+many fresh characters it makes. Prefix sums over these small tables stitch them;
+in the second pass each range emits its pieces with their numbers and places.
+Bytes that are no UTF-8 are a character each, so that no byte is lost and all
+places stay exact; they come back as replacement characters.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +33,9 @@ OVERLAP = 150
 RANGE_BYTES = 1 << 16
 _SENTENCE = re.compile(r"[.!?][\"')\]]*\s+|[。！？]")
 _SPACE = re.compile(r"\s+")
-PIECE = "src string, item_id string, range_no int, n int, lead_chars int, start_byte long, end_byte long, chars int, text string"
+SUMS = "src string, item_id string, range_no int, made int, fresh long"
+PIECE = "src string, item_id string, piece_no long, start_char long, end_char long, start_byte long, end_byte long, text string"
+_BAD = re.compile("[\udc80-\udcff]")
 
 
 def best_cut(text: str, low: int, high: int) -> int:
@@ -54,25 +60,32 @@ def _window_cut(text: str, at: int, step: int) -> int:
     return best_cut(text, at + max(1, step // 2), min(len(text), at + step))
 
 
-def range_pieces(data: bytes, skip: int, own: int, first: bool, last: bool, limit: int, overlap: int) -> tuple[int, list[tuple[int, int, int, int]], str]:
-    """Pieces of one range: (characters owned, [(lead chars, start, end, chars of the piece)], decoded text).
+def decoded(data: bytes, skip: int) -> tuple[str, np.ndarray]:
+    """The text of a range with its halos, and the byte of ``data`` at which each character and the end stand.
+
+    Up to three bytes that continue a character begun before ``data`` are left
+    out; a byte that is no UTF-8 is one character of its own (a lone surrogate).
+    """
+    lead = 0
+    while skip and lead < 3 and lead < len(data) and data[lead] & 0xC0 == 0x80:
+        lead += 1
+    text = data[lead:].decode("utf-8", errors="surrogateescape")
+    codes = np.frombuffer(text.encode("utf-32-le", errors="surrogatepass"), dtype="<u4")
+    sizes = 1 + (codes >= 0x80).astype("i8") + (codes >= 0x800) + (codes >= 0x10000)
+    sizes[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1
+    return text, np.concatenate([[lead], lead + np.cumsum(sizes)])
+
+
+def range_pieces(data: bytes, skip: int, own: int, first: bool, last: bool, limit: int, overlap: int) -> tuple[int, list[tuple[int, int, int]], str, np.ndarray]:
+    """Pieces of one range: (characters owned, [(lead chars, start, end)], decoded text, its bytes).
 
     ``data`` holds the range and its halos; ``skip`` bytes of it stand before
     the range, the range has ``own`` bytes. Starts and ends are offsets in the
-    decoded text, which begins at the first whole character of ``data``.
+    decoded text. A character that a border cuts belongs to the range before.
     """
     step = limit - overlap
-    lead = 0
-    while lead < len(data) and data[lead] & 0xC0 == 0x80:
-        lead += 1
-    text = data[lead:].decode("utf-8", errors="replace")
-    begin = len(data[lead : max(lead, skip)].decode("utf-8", errors="ignore")) if skip > lead else 0
-    if skip and data[skip : skip + 1] and data[skip] & 0xC0 == 0x80:
-        begin += 1  # the character cut by the border belongs to the range before
-    end_byte = skip + own
-    border = len(data[lead:end_byte].decode("utf-8", errors="ignore"))
-    if end_byte < len(data) and data[end_byte] & 0xC0 == 0x80:
-        border += 1
+    text, places = decoded(data, skip)
+    begin, border = (int(np.searchsorted(places[:-1], at)) for at in (skip, skip + own))
     start = begin if first else _window_cut(text, begin, step)
     stop = len(text) if last else _window_cut(text, border, step)
     pieces = []
@@ -80,43 +93,51 @@ def range_pieces(data: bytes, skip: int, own: int, first: bool, last: bool, limi
     while at < stop:
         cut = stop if stop - at <= step else _window_cut(text, at, step)
         back = max(0, at - overlap) if (at > start or not first) else at
-        pieces.append((at - back, back, cut, cut - back))
+        pieces.append((at - back, back, cut))
         at = cut
-    return stop - start, pieces, text
-
-
-def _emit(rows: Iterator[tuple], limit: int, overlap: int) -> Iterator[pa.RecordBatch]:
-    names = ["src", "item_id", "range_no", "n", "lead_chars", "start_byte", "end_byte", "chars", "text"]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
-    out: list[tuple] = []
-    for src, item, number, data, skip, own, first, last, offset in rows:
-        _, pieces, text = range_pieces(data, skip, own, first, last, limit, overlap)
-        lead = 0
-        while lead < len(data) and data[lead] & 0xC0 == 0x80:
-            lead += 1
-        seen, seen_bytes = 0, lead
-        for n, (back_chars, start, end, chars) in enumerate(pieces):
-            seen_bytes += len(text[seen:start].encode())
-            seen = start
-            piece = text[start:end]
-            at = offset - skip + seen_bytes
-            out.append((src, item, number, n, back_chars, at, at + len(piece.encode()), chars, piece))
-            if len(out) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), kinds)], names=names)
-                out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), kinds)], names=names)
-
-
-def _stitched(pieces: DataFrame) -> DataFrame:
-    """Numbers the pieces of an item and places them in characters, by prefix sums over its ranges."""
-    part = pieces.groupBy("src", "item_id", "range_no").agg(F.count("*").alias("made"), F.sum(F.col("chars") - F.col("lead_chars")).alias("fresh"))
+    return stop - start, pieces, text, places
+
+
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    fields = [f.strip().split(" ") for f in names.split(",")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    columns = zip(*rows) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def _stitched(ranges: DataFrame, read, limit: int, overlap: int) -> DataFrame:
+    """The pieces of all ranges. ``read`` makes (src, item_id, range_no, data, skip, own, first, last, offset) of a row of ``ranges``, of its columns but the last two."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                src, item, number, data, skip, own, first, last, _ = read(*row)
+                fresh, pieces, _, _ = range_pieces(data, skip, own, first, last, limit, overlap)
+                out.append((src, item, number, len(pieces), fresh))
+            yield _batch(out, SUMS)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for *row, made, fresh in zip(*(c.to_pylist() for c in batch.columns)):
+                src, item, _, data, skip, own, first, last, offset = read(*row)
+                _, pieces, text, places = range_pieces(data, skip, own, first, last, limit, overlap)
+                base = offset - skip
+                start_of = pieces[0][1] + pieces[0][0] if pieces else 0
+                for n, (_, start, end) in enumerate(pieces):
+                    at = fresh + start - start_of
+                    out.append((src, item, made + n, at, at + end - start, base + int(places[start]), base + int(places[end]), _BAD.sub("\ufffd", text[start:end])))
+                    if len(out) >= 2000:
+                        yield _batch(out, PIECE)
+                        out = []
+            if out:
+                yield _batch(out, PIECE)
+
+    keys = ["src", "item_id", "range_no"]
     run = Window.partitionBy("src", "item_id").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    sums = part.select("src", "item_id", "range_no", F.coalesce(F.sum("made").over(run), F.lit(0)).alias("made_before"), F.coalesce(F.sum("fresh").over(run), F.lit(0)).alias("fresh_before"))
-    inside = Window.partitionBy("src", "item_id", "range_no").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.col("chars") - F.col("lead_chars")
-    placed = pieces.join(sums, ["src", "item_id", "range_no"]).withColumn("start_char", F.col("fresh_before") + F.coalesce(F.sum(fresh).over(inside), F.lit(0)) - F.col("lead_chars"))
-    return placed.select("src", "item_id", (F.col("made_before") + F.col("n")).alias("piece_no"), "start_char", (F.col("start_char") + F.col("chars")).alias("end_char"), "start_byte", "end_byte", "text")
+    sums = ranges.mapInArrow(count, SUMS).select(*keys, F.coalesce(F.sum("made").over(run), F.lit(0)).alias("made_before"), F.coalesce(F.sum("fresh").over(run), F.lit(0)).alias("fresh_before"))
+    return ranges.join(sums, keys).select(*ranges.columns, "made_before", "fresh_before").mapInArrow(emit, PIECE)
 
 
 def _checked(limit: int, overlap: int, range_bytes: int) -> int:
@@ -134,50 +155,52 @@ def split_items(items: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP,
     at most ``limit`` characters and null texts need no split and give no rows.
     Each piece has at most ``limit`` characters; taking ``overlap`` characters
     off every piece but the first and joining gives the text again. Repeated
-    (src, item_id, text) rows count once. item_id comes back as a string.
+    (src, item_id, text) rows count once. item_id comes back as a string; a null src
+    or item_id comes back as ''.
     """
     halo = _checked(limit, overlap, range_bytes)
-    big = items.where(F.length("text") > limit).select("src", F.col("item_id").cast("string").alias("item_id"), F.encode(F.col("text"), "UTF-8").alias("raw")).distinct()
-    total = F.octet_length("raw")
-    at = F.explode(F.sequence(F.lit(0), F.floor((total - 1) / range_bytes).cast("int"))).alias("range_no")
-    ranges = big.select("src", "item_id", "raw", total.alias("total"), at)
-    offset = F.col("range_no") * range_bytes
-    skip = F.least(offset, F.lit(halo))
-    cut = ranges.select("src", "item_id", "range_no", F.expr(f"substring(raw, range_no * {range_bytes} - least(range_no * {range_bytes}, {halo}) + 1, {range_bytes} + {2 * halo} - ({halo} - least(range_no * {range_bytes}, {halo})))").alias("data"), skip.alias("skip"), F.least(F.lit(range_bytes), F.col("total") - offset).alias("own"), (F.col("range_no") == 0).alias("first"), (offset + range_bytes >= F.col("total")).alias("last"), offset.cast("long").alias("offset"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _emit(zip(*(c.to_pylist() for c in batch.columns)), limit, overlap)
+    big = items.where(F.length("text") > limit).select(F.coalesce("src", F.lit("")).alias("src"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.encode(F.col("text"), "UTF-8").alias("raw")).distinct()
+    # the item is cut into slices, and only these leave it: no range carries the whole
+    spot = lambda i: i * range_bytes - F.least(i * range_bytes, F.lit(halo))
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("raw") - 1) / range_bytes).cast("int")), lambda i: F.struct(i.alias("range_no"), F.substring(F.col("raw"), spot(i) + 1, i * range_bytes - spot(i) + range_bytes + halo).alias("data")))
+    ranges = big.select("src", "item_id", F.octet_length("raw").cast("long").alias("total"), F.explode(slices).alias("s")).select("src", "item_id", "s.range_no", "total", "s.data")
+
+    def read(src: str, item: str, number: int, total: int, data: bytes) -> tuple:
+        offset = number * range_bytes
+        return src, item, number, data, min(offset, halo), min(range_bytes, total - offset), number == 0, offset + range_bytes >= total, offset
 
-    return _stitched(cut.mapInArrow(run, PIECE))
+    return _stitched(ranges, read, limit, overlap)
 
 
 def split_files(spark: SparkSession, paths: list[str], *, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 8 << 20) -> DataFrame:
     """Pieces of text files on storage that all executors mount; each worker reads only its range and halo.
 
     src is ``file`` and item_id the path. Files of at most ``limit`` bytes give
-    no rows. Bytes that are no UTF-8 come back as replacement characters.
+    no rows. Bytes that are no UTF-8 come back as replacement characters, one each;
+    sizes and bytes are read by the executors, the driver holds the paths only.
     """
     import os
 
     halo = _checked(limit, overlap, range_bytes)
-    rows = [(p, i, os.path.getsize(p)) for p in paths for i in range(-(-os.path.getsize(p) // range_bytes)) if os.path.getsize(p) > limit]
-    table = spark.createDataFrame(rows, "path string, range_no int, total long").repartition(max(1, min(len(rows), 10_000)), "path", "range_no")
 
-    def read(path: str, number: int, total: int) -> tuple:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([("file", p, os.path.getsize(p)) for p in batch.column(0).to_pylist()], "src string, item_id string, total long")
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").distinct().mapInArrow(measure, "src string, item_id string, total long").where(F.col("total") > limit)
+    numbers = F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / range_bytes).cast("int")))
+    ranges = files.select("src", "item_id", numbers.alias("range_no"), "total").repartition("item_id", "range_no")
+
+    def read(src: str, path: str, number: int, total: int) -> tuple:
         offset = number * range_bytes
         skip = min(offset, halo)
         own = min(range_bytes, total - offset)
         with open(path, "rb") as file:
             file.seek(offset - skip)
             data = file.read(skip + own + halo)
-        return "file", path, number, data, skip, own, number == 0, offset + range_bytes >= total, offset
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _emit((read(*row) for row in zip(*(c.to_pylist() for c in batch.columns))), limit, overlap)
+        return src, path, number, data, skip, own, number == 0, offset + range_bytes >= total, offset
 
-    return _stitched(table.mapInArrow(run, PIECE))
+    return _stitched(ranges, read, limit, overlap)
 
 
 def file_lines(content: Column) -> Column:
