@@ -189,3 +189,27 @@ def test_a_comment_above_many_attributes(spark):
     nodes = spark.createDataFrame([(1, "p", "Function", "left", "a.rs", 7, None), (2, "p", "Function", "shelf", "b.py", 7, None)], NODE)
     got = {r["node_id"]: (r["doc_line"], r["doc"]) for r in docpairs.documented_functions(nodes, contents).collect()}
     assert got == {1: (1, "Counts what is left over."), 2: (1, "Reads the ledger from its shelf.")}
+
+
+def first_error(name, text):
+    return invalid.lexer_of(name, invalid.all_tables()).first_error(text)
+
+
+def test_patterns_at_the_beginning_of_a_line():
+    assert first_error("module", "f();\n  /ab+c/.test(x);\n") == -1 and first_error("module", "x = a\n   / b / c;\n") == -1 and first_error("module", "  /ab+c/.test(x;\n") >= 0
+
+
+def test_fields_of_formatted_strings():
+    for text in ("f'{a} {b!r:>{w}} {{c}} {d[\"x\"]:%Y} {e=} {x if y else z}'", 'f"""{\n a\n}"""', "f''", "f'{a, b} {*c, d}'"):
+        assert first_error("python", text) == -1, text
+    for text in ("f'{a b}'", "f'{a'", "f'a}'", "f'{}'", "f'{a:{b c}}'"):
+        assert first_error("python", text) >= 0, text
+
+
+def test_undecided_is_a_state_of_its_own(monkeypatch):
+    from kelpgraph.llm.parsing import tables
+
+    parser = Recogniser(build(Grammar("s = e\ne = e '+' e | N\n")))
+    ids = parser.tables.terminals
+    monkeypatch.setattr(tables, "UNDECIDED", 2)
+    assert parser.first_error([*[ids["N"], ids["'+"]] * 30, ids["N"], 0]) == -2
