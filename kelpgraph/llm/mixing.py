@@ -11,7 +11,9 @@ Scale: cumulative sums over a source of any size are taken in two steps. Rows
 fall into ranges of their random key, the ranges' sums (bounded by
 ``rows / range_rows``) get a running total, and only inside a range rows are
 ordered one by one. The same is done over ranges of finish time to find where
-the budget ends.
+the budget ends; their bounds are the quantiles of what all sources together
+have served by a time, which the sources' totals give in advance, so that a
+range holds the same number of tokens whatever the weights.
 """
 
 from __future__ import annotations
@@ -21,9 +23,6 @@ from pyspark.sql import functions as F
 
 from kelpgraph.llm.tokens import VOCABULARY, token_count
 
-RANGES = 4096
-
-
 def plain_source(source: Column) -> Column:
     """A source name spelled the plain way: trimmed, lower case, words joined by ``_``; empty becomes null."""
     plain = F.regexp_replace(F.lower(F.trim(source)), r"[\s\-_]+", "_")
@@ -89,11 +88,13 @@ def mix_sources(sized: DataFrame, targets: DataFrame, *, budget: int | None = No
     inside = Window.partitionBy("source", "repeat", "slot").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     used = each.join(before, ["source", "repeat", "slot"]).withColumn("used", (F.col("repeat") - 1) * F.col("available") + F.col("before") + F.sum("tokens").over(inside))
     timed = used.select("doc_id", "source", "repeat", "tokens", (F.col("used") / F.col("w")).alias("finish"))
-    last = max([r[1] * r[3] / r[2] for r in rows], default=1.0)
-    slots = min(RANGES, max(1, sum(t.n for t in totals) * 2 // range_rows))
-    timed = timed.withColumn("slot", F.least(F.lit(slots - 1), F.floor(F.col("finish") / F.lit(last) * slots)).cast("int"))
-    sums = timed.groupBy("slot").agg(F.sum("tokens").alias("part")).withColumn("before", F.coalesce(F.sum("part").over(Window.partitionBy().orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most RANGES rows
-    open_slots = F.broadcast(sums.where(F.col("before") < budget).select("slot", "before"))
+    slots = max(1, sum(t.n * r[3] for t, r in zip(totals, rows)) // range_rows)
+    # tokens that all sources have served by a time: a monotone sum, one term a target; its equal parts are the ranges
+    served = sum((F.least(F.col("finish") * F.lit(r[2]), F.lit(float(r[1] * r[3]))) for r in rows), F.lit(0.0))
+    whole = float(sum(r[1] * r[3] for r in rows)) or 1.0
+    timed = timed.withColumn("slot", F.least(F.lit(slots - 1), F.floor(served / F.lit(whole) * slots)).cast("int"))
+    sums = timed.groupBy("slot").agg(F.sum("tokens").alias("part")).withColumn("before", F.coalesce(F.sum("part").over(Window.partitionBy().orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for range_rows rows
+    open_slots = sums.where(F.col("before") < budget).select("slot", "before")  # ranges past the budget end here, before any row is ordered
     order = Window.partitionBy("slot").orderBy("finish", "source", "repeat", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = timed.join(open_slots, "slot").withColumn("start", F.col("before") + F.sum("tokens").over(order) - F.col("tokens"))
     return placed.where(F.col("start") + F.col("tokens") <= budget).select("doc_id", "source", "repeat", "tokens", "finish", "start")
