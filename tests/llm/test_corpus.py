@@ -71,11 +71,37 @@ def test_packing_retrieves_neighbours():
     assert sorted(sorted(d for d, *_ in w) for w in windows) == [[0, 1, 2], [3, 4, 5]]
 
 
+def test_neighbours_meet_in_a_shard(spark):
+    """Of many shards, the documents about one thing share one, so that most windows are filled by neighbours of their seed."""
+    r = random.Random(8)
+    topics = [[a + b for b in ("lan", "mor", "tip", "zek", "vud", "hol")] for a in ("ba", "ce", "di", "fo", "gu", "ha", "ji", "ko", "lu", "ma")]
+    rows = [(i, " ".join(r.choice(topics[i % 10]) if r.random() < 0.5 else r.choice("river stone maple tower".split()) for _ in range(30)), "a", None) for i in range(600)]
+    packed = packing.pack_documents(spark.createDataFrame(rows, DOC), spark.createDataFrame([("w", 512)], BINS), shard_tokens=6_000).collect()
+    shards = {}
+    for x in packed:
+        shards.setdefault(x["container"].split("-")[0], []).append(x["doc_id"] % 10)
+    windows = {}
+    for x in packed:
+        windows.setdefault(x["container"], []).append(x["doc_id"] % 10)
+    same = sum(max(map(w.count, set(w))) for w in windows.values())
+    assert len(shards) >= 6 and same >= 0.75 * len(packed) and sum(x["how"] == "neighbour" for x in packed) >= 0.6 * len(packed)
+
+
+def test_a_hot_word_is_spread(spark):
+    rows = [(i, "alike " * 20 + f"w{i}", "a", None) for i in range(500)] + [(1000 + i, f"other{i % 7} thing", "a", None) for i in range(500)]
+    packed = packing.pack_documents(spark.createDataFrame(rows, DOC), spark.createDataFrame([("w", 256)], BINS), shard_tokens=2_000).collect()
+    per = {}
+    for x in packed:
+        shard = x["container"].split("-")[0]
+        per[shard] = per.get(shard, 0) + x["end_token"] - x["start_token"]
+    assert sorted(x["doc_id"] for x in packed) == [x[0] for x in rows] and len(per) >= 6 and max(per.values()) <= 3_000
+
+
 def test_packing_empty(spark):
     bins = spark.createDataFrame([("short", 128)], BINS)
     assert packing.pack_documents(spark.createDataFrame([], DOC), bins).count() == 0
     only = spark.createDataFrame([(1, None, None, None)], DOC)
-    assert [tuple(r)[2:] for r in packing.pack_documents(only, bins).collect()] == [(1, 0, 0, 0)]
+    assert [tuple(r)[2:6] for r in packing.pack_documents(only, bins).collect()] == [(1, 0, 0, 0)]
 
 
 TARGET = "source string, target_share double, max_repeats int"
@@ -118,6 +144,19 @@ def test_mixing_prefix_sums_equal_brute_force(spark):
         at += x["tokens"]
 
 
+def test_a_large_source_of_small_weight_does_not_fill_one_range(spark):
+    """Ranges of finish time hold equal numbers of tokens whatever the weights."""
+    sized = spark.range(6000).selectExpr("id as doc_id", "case when id < 5000 then 'large' else 'small' end as source", "cast(10 as int) as tokens")
+    targets = spark.createDataFrame([("large", 0.001, 1), ("small", 0.999, 1)], TARGET)
+    mix = mixing.mix_sources(sized, targets, range_rows=200)
+    rows = sorted(mix.collect(), key=lambda x: x["start"])
+    assert [x["start"] for x in rows] == list(range(0, 60_000, 10)) and [x["finish"] for x in rows] == sorted(x["finish"] for x in rows)
+    one = 5000 / 0.001 * 10
+    served = [min(x["finish"] * 0.001, 50_000) + min(x["finish"] * 0.999, 10_000) for x in rows]
+    slots = [min(29, int(x / 60_000 * 30)) for x in served]
+    assert rows[-1]["finish"] > 0.5 * one and max(map(slots.count, set(slots))) <= 2 * 6000 / 30
+
+
 def test_texts_are_counted_once(spark):
     rows = [(1, "same text", "Wiki-Page "), (2, "same text", "wiki_page"), (3, "same text", "readme"), (4, "other", None), (5, None, "readme"), (6, "", "readme"), (7, "x y", "README")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"n": F.lit("clash"), "times": F.lit(1), "tokens": F.lit("t")})
