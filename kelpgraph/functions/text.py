@@ -113,10 +113,10 @@ def text_lines(content: Column) -> Column:
 
 
 def keyword_words(query: str) -> list[str]:
-    """Words of a query: outer marks off, below 3 bytes and stopwords left out."""
+    """Words of a query: outer marks off but for ``_``, below 3 bytes and stopwords left out."""
     out = []
     for word in query.split():
-        bare = word.strip("".join({c for c in word if not c.isalnum()}))
+        bare = word.strip("".join({c for c in word if not c.isalnum() and c != "_"}))
         if len(bare.encode()) >= 3 and bare.lower() not in STOPWORDS:
             out.append(bare)
     return out

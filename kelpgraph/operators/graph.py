@@ -10,7 +10,6 @@ from kelpgraph.model import PropertyGraph
 from kelpgraph.session import cut_lineage
 
 NODE_COLUMNS = ("id", "kind", "name", "qualified_name", "file_path", "start_line", "end_line")
-MAX_DEPTH = 64
 
 
 def match_pattern(graph: PropertyGraph, kind_a: str, edge_kind: str, kind_b: str, *, name_a: str | None = None, name_b: str | None = None, returns: str = "a", limit: int | None = None) -> DataFrame:
@@ -31,13 +30,16 @@ def trace_calls(graph: PropertyGraph, name: str, *, inbound: bool = False, depth
     """(node columns, depth) reached from all functions named ``name`` over call edges, each once, starts left out.
 
     One join a level; levels are deduplicated before they meet the visited set
-    and cut from their lineage by a checkpoint. Ends when a level adds nothing.
+    and cut from their lineage by a checkpoint. The hops are laid down once, by
+    their near end, so that a level does not read the edges again. Ends when a
+    level adds nothing.
     """
     near, far = ("dst_id", "src_id") if inbound else ("src_id", "dst_id")
-    hops = graph.calls().select(F.col(near).alias("id"), F.col(far).alias("next")).distinct()
+    hops = graph.calls().select(F.col(near).alias("id"), F.col(far).alias("next")).distinct().repartition("id")
+    hops = cut_lineage(hops) if depth > 1 else hops
     frontier = graph.nodes.where((F.col("kind") == "Function") & (F.col("name") == name)).select("id")
     visited = frontier.withColumn("depth", F.lit(0))
-    for level in range(1, min(depth, MAX_DEPTH) + 1):
+    for level in range(1, depth + 1):
         reached = frontier.join(hops, "id").select(F.col("next").alias("id")).distinct()
         frontier = cut_lineage(reached.join(visited, "id", "left_anti"))
         if frontier.isEmpty():
@@ -137,15 +139,18 @@ def call_notes(graph: PropertyGraph, chunks: DataFrame | None = None) -> DataFra
     return nodes.select("id", F.concat(wikilink_name(F.col("qualified_name")), F.lit(".md")).alias("file_name"), F.concat(header, body, links("Calls", "callees"), links("Called by", "callers")).alias("note"))
 
 
-def call_graph_dot(graph: PropertyGraph, name: str, *, depth: int = 2) -> str:
-    """DOT text of the calls among the neighbours of the functions named ``name``.
-
-    The neighbourhood is what a person looks at, and bounded by ``depth``; its
-    lines are made by the executors and joined by the driver.
-    """
+def call_dot_lines(graph: PropertyGraph, name: str, *, depth: int = 2) -> DataFrame:
+    """(part, src_id, dst_id, line): the DOT lines of the nodes (part 0) and calls (part 1) among the neighbours of the functions named ``name``."""
     starts = graph.nodes.where((F.col("kind") == "Function") & (F.col("name") == name)).select(*NODE_COLUMNS)
     around = trace_calls(graph, name, depth=depth).drop("depth").unionByName(trace_calls(graph, name, inbound=True, depth=depth).drop("depth")).unionByName(starts).dropDuplicates(["id"])
-    label = F.format_string('  n%d [label="%s"];', F.col("id"), dot_escape(F.col("name")))
-    nodes = [r[0] for r in around.orderBy("id").select(label).collect()]
-    edges = [r[0] for r in subgraph_edges(graph, around).orderBy("src_id", "dst_id").select(F.format_string("  n%d -> n%d;", "src_id", "dst_id")).collect()]
-    return "\n".join(["digraph calls {", "  rankdir=LR;", *nodes, *edges, "}"]) + "\n"
+    nodes = around.select(F.lit(0).alias("part"), F.col("id").alias("src_id"), F.lit(None).cast("long").alias("dst_id"), F.format_string('  n%d [label="%s"];', F.col("id"), dot_escape(F.col("name"))).alias("line"))
+    calls = subgraph_edges(graph, around).select(F.lit(1).alias("part"), "src_id", "dst_id", F.format_string("  n%d -> n%d;", "src_id", "dst_id").alias("line"))
+    return nodes.unionByName(calls)
+
+
+def call_graph_dot(graph: PropertyGraph, name: str, *, depth: int = 2, most: int = 10_000) -> str:
+    """DOT text of the calls among the neighbours of the functions named ``name``; an error above ``most`` lines, which are for ``call_dot_lines``."""
+    lines = call_dot_lines(graph, name, depth=depth).orderBy("part", "src_id", "dst_id").select("line").limit(most + 1).collect()
+    if len(lines) > most:
+        raise ValueError(f"the neighbourhood has more than {most} nodes and calls")
+    return "\n".join(["digraph calls {", "  rankdir=LR;", *[r[0] for r in lines], "}"]) + "\n"

@@ -18,6 +18,8 @@ _HEADING = re.compile(r"^\s*(#{1,6})[ \t]+(.*)$")
 _FENCE = re.compile(r"^\s*(`{3,}|~{3,})(.*)$")
 _HUNK = re.compile(r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@")
 SECTIONS = "name string, level int, start_line int, end_line int, parent int"
+#: Over so many tasks the calls of one name are spread.
+SALTS = 16
 TAGS = "category string, name string, start_row int, end_row int, seq int"
 
 
@@ -87,11 +89,11 @@ def extract_sections(contents: DataFrame, *keys: str) -> DataFrame:
 
 
 def python_tags(source: str) -> list[tuple[str, str, int, int]]:
-    """Functions, classes and calls of a Python text by its syntax tree; none if it does not parse."""
+    """Functions, classes and calls of a Python text by its syntax tree; of one that does not parse, definitions by their indent."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
-        return []
+        return _indented_definitions(split_lines(source))
     out = []
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -105,6 +107,25 @@ def python_tags(source: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+_DEFINED = re.compile(r"([ \t]*)(?:async\s+)?(def|class)\s+([^\W\d]\w*+)(?!\s*\(\s*:)")
+
+
+def _indented_definitions(lines: list[str]) -> list[tuple[str, str, int, int]]:
+    """Definitions of a text by lines: one ends before the next line that is indented no deeper."""
+    out, indents = [], [len(x) - len(x.lstrip()) if x.strip() else None for x in lines]
+    for row, line in enumerate(lines):
+        m = _DEFINED.match(line)
+        if m:
+            last = row
+            for i in range(row + 1, len(lines)):
+                if indents[i] is not None:
+                    if indents[i] <= len(m.group(1)):
+                        break
+                    last = i
+            out.append(("function" if m.group(2) == "def" else "type", m.group(3), row, last))
+    return out
+
+
 _MODS = r"(?:(?:export|default|public|private|protected|internal|static|final|abstract|sealed|async|override|virtual|inline|extern|unsafe|const|pub(?:\([\w ]+\))?|partial|readonly)\s+)*"
 #: Definition patterns by language, and those languages' calls; a documented stand-in where no parser is at hand.
 PATTERNS: dict[str, tuple[str, str, bool]] = {
@@ -119,34 +140,110 @@ PATTERNS: dict[str, tuple[str, str, bool]] = {
     "Ruby": (r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)", r"^\s*(?:class|module)\s+([A-Z]\w*)", True),
     "Php": (rf"^\s*{_MODS}function\s+&?([A-Za-z_]\w*)", rf"^\s*{_MODS}(?:class|interface|trait|enum)\s+([A-Za-z_]\w*)", True),
 }
+_ARROW = r"^\s*(?:export\s+)?(?:default\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*(?::\s*[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)"
+for _name in ("JavaScript", "TypeScript"):
+    PATTERNS[_name] = (PATTERNS[_name][0] + "|" + _ARROW, *PATTERNS[_name][1:])
 PATTERNS["Tsx"] = PATTERNS["TypeScript"]
+_SCRIPTS = frozenset(["JavaScript", "TypeScript", "Tsx"])
+#: Functions inside a line of a script, as bundles have them.
+_ANYWHERE = re.compile(r"(?<![\w$.])function\s*\*?\s*([A-Za-z_$][\w$]*)|(?<![\w$.])(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s+)?function\b")
+_READY = {name: (re.compile(f), re.compile(t), calls) for name, (f, t, calls) in PATTERNS.items()}
 _CALL = re.compile(r"(?<![\w$.])(?:[\w$]+(?:\.|::|->))*([A-Za-z_$][\w$]*)\s*\(")
 _NO_CALL = frozenset("if for while switch catch return function def func fn elif and or not in sizeof typeof new print echo".split())
+_STRINGS = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+#: Comments and strings by language; what is in them is no code.
+_QUIET = {
+    name: re.compile(body)
+    for name, body in {
+        "": rf"//[^\n]*|/\*[\s\S]*?\*/|`(?:[^`\\]|\\[\s\S])*`|{_STRINGS}",
+        "Rust": r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\]|\\[\s\S])*\"|'(?:\\[^'\n]+|[^'\\\n])'",
+        "Php": rf"//[^\n]*|#(?!\[)[^\n]*|/\*[\s\S]*?\*/|{_STRINGS}",
+        "Ruby": rf"#[^\n]*|{_STRINGS}",
+    }.items()
+}
+_BRACE = re.compile(r"[{}]")
+_OPENING = re.compile(r"[{;]")
+
+
+def quiet_code(source: str, language: str) -> str:
+    """The text with its comments and strings blanked, of the same length and lines."""
+    return _QUIET.get(language, _QUIET[""]).sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
+
+
+def _closing_braces(code: str) -> dict[int, int]:
+    """Offset of the brace that closes each opening one."""
+    out, stack = {}, []
+    for m in _BRACE.finditer(code):
+        if m.group() == "{":
+            stack.append(m.start())
+        elif stack:
+            out[stack.pop()] = m.start()
+    return out
 
 
 def tags_of(source: str, language: str | None) -> list[tuple[str, str, int, int, int]]:
-    """(category, name, start row, end row, number in the file) of a text's definitions and calls, in row order."""
+    """(category, name, start row, end row, number in the file) of a text's definitions and calls, in row order.
+
+    Python by its syntax tree. Elsewhere a definition ends with the brace that
+    closes its body, found in the text without comments and strings; without a
+    body it ends at its semicolon or on its row. Ruby's ends with the ``end`` of
+    its own indent.
+    """
     if language == "Python":
         found = python_tags(source)
-    elif language in PATTERNS:
-        functions, types, calls = PATTERNS[language]
-        found = []
-        for row, line in enumerate(split_lines(source)):
+    elif language in _READY:
+        functions, types, calls = _READY[language]
+        source = source.replace("\r\n", "\n")
+        code = quiet_code(source, language)
+        lines = code.split("\n")
+        closing = _closing_braces(code) if language != "Ruby" else {}
+        found, at = [], 0
+        for row, line in enumerate(lines):
             here = None
             for category, pattern in (("type", types), ("function", functions)):
-                m = re.match(pattern, line)
+                m = pattern.match(line)
                 if m:
                     here = next(filter(None, m.groups()), None)
                     if here:
-                        found.append((category, here, row, row))
-            if calls and not line.lstrip().startswith(("//", "#", "*", "/*")):
+                        found.append((category, here, row, _last_row(code, lines, language, category, row, at, m, closing)))
+            if language in _SCRIPTS:
+                for m in _ANYWHERE.finditer(line):
+                    inner = m.group(1) or m.group(2)
+                    if inner != here:
+                        found.append(("function", inner, row, _last_row(code, lines, language, "function", row, at, m, closing)))
+            if calls:
                 found += [("call", c, row, row) for c in _CALL.findall(line) if c != here and c not in _NO_CALL]
+            at += len(line) + 1
     else:
         found = []
     found.sort(key=lambda t: (t[2], t[0] == "call"))
     return [(*t, i) for i, t in enumerate(found)]
 
 
+def _last_row(code: str, lines: list[str], language: str, category: str, row: int, at: int, m: re.Match, closing: dict[int, int]) -> int:
+    line = lines[row]
+    if language == "Ruby":
+        indent = len(line) - len(line.lstrip())
+        ends = (i for i in range(row + 1, len(lines)) if lines[i].startswith("end", indent) and not lines[i][:indent].strip() and not lines[i][indent + 3 : indent + 4].isalnum())
+        return row if re.search(r"\bend\s*$|\)\s*=\s|;\s*end\b", line) else next(ends, row)
+    arrow = m.group().rstrip().endswith("=>")
+    if arrow:
+        rest = code[at + m.end() :]
+        begin = at + m.end() + len(rest) - len(rest.lstrip())
+        if code[begin : begin + 1] != "{":
+            return row
+    else:
+        # the name may stand before the brace that the pattern ends with
+        opening = _OPENING.search(code, at + (m.end() if not m.group().rstrip().endswith("{") else m.start() + m.group().rindex("{")))
+        begin = opening.start() if opening else -1
+        if category == "type" and opening and "\n" in code[at:begin].rstrip() and code[at:begin].count("\n") > 1 and language in ("Go", "Rust", "TypeScript", "Tsx", "Cpp"):
+            return row
+        if begin < 0 or language == "Go" and category == "type" and "\n" in code[at:begin]:
+            return row
+    stop = closing.get(begin, begin) if code[begin] == "{" else begin
+    return row + code.count("\n", at, stop)
+
+
 def extract_tags(contents: DataFrame, *keys: str) -> DataFrame:
     """(keys, category, name, start_row, end_row, seq) of source texts with a ``language`` column; rows count from 0."""
     return _rows_of(contents, keys or ("file_path",), "content", tags_of, TAGS, "language")
@@ -188,19 +285,23 @@ def attribute_asof(defs: DataFrame, points: DataFrame, keys: list[str], *, def_a
 
 
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """(caller_id, callee_id, how): call sites resolved in the same file, else by a name unique in the project.
+    """(project_id, caller_id, callee_id, how): call sites resolved in the same file, else by a name unique in the project.
 
     ``calls`` has project_id, file_path, caller_id, callee_name; ``functions``
     project_id, file_path, name, id. In a file the last definition of a name
     counts (largest id). Calls of itself and unresolved calls leave; equal calls
-    stay apart.
+    stay apart. A name that a third of all calls use is one key of the second
+    join; the definitions are copied to ``SALTS`` salts, over which the calls
+    spread.
     """
     local = functions.groupBy("project_id", "file_path", F.col("name").alias("callee_name")).agg(F.max("id").alias("local_id"))
     unique = functions.groupBy("project_id", F.col("name").alias("callee_name")).agg(F.count_distinct("id").alias("n"), F.first("id").alias("unique_id")).where("n = 1").drop("n")
-    first = calls.join(local, ["project_id", "file_path", "callee_name"], "left").join(unique, ["project_id", "callee_name"], "left")
+    salted = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = calls.withColumn("_salt", F.pmod(F.xxhash64("file_path", "caller_id"), F.lit(SALTS)).cast("int"))
+    first = spread.join(local, ["project_id", "file_path", "callee_name"], "left").join(salted, ["project_id", "callee_name", "_salt"], "left")
     callee = F.coalesce("local_id", "unique_id")
     how = F.when(F.col("local_id").isNotNull(), "file").otherwise("project")
-    return first.select("caller_id", callee.alias("callee_id"), how.alias("how")).where("callee_id is not null and callee_id <> caller_id")
+    return first.select("project_id", "caller_id", callee.alias("callee_id"), how.alias("how")).where("callee_id is not null and callee_id <> caller_id")
 
 
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -230,49 +331,54 @@ class IndexedTree:
     chunks: DataFrame
 
 
-def index_files(files: DataFrame, project_id: str = "local") -> IndexedTree:
+def index_files(files: DataFrame, project_id: str | None = "local") -> IndexedTree:
     """Graph tables of (file_path, content, language) rows: nodes, DEFINES, CONTAINS and CALLS edges, contents, chunks.
 
+    Of many projects at once if ``project_id`` is None: then the rows have one
+    each, and so have the tables; the plan is the same, keyed by project and path.
+
     Ids are hashes of the qualified name, so equal trees give equal ids. Files
     with a line above 2,000 bytes give definitions but no calls. Of definitions
     with the same name on one row the later kind counts.
     """
-    files = files.select("file_path", F.coalesce("content", F.lit("")).alias("content"), "language").withColumn("project_id", F.lit(project_id))
-    key = lambda *parts: F.xxhash64(F.lit(project_id), F.concat(*parts))
+    owner = F.col("project_id") if project_id is None else F.lit(project_id)
+    files = files.select("file_path", F.coalesce("content", F.lit("")).alias("content"), "language", owner.alias("project_id"))
+    key = lambda *parts: F.xxhash64(F.col("project_id"), F.concat(*parts))
     file_id = key(F.col("file_path"))
-    file_nodes = files.select(file_id.alias("id"), F.lit("File").alias("kind"), F.col("file_path").alias("name"), F.col("file_path").alias("qualified_name"), "file_path", F.lit(0).alias("start_line"), F.lit(0).alias("end_line"))
+    file_nodes = files.select("project_id", file_id.alias("id"), F.lit("File").alias("kind"), F.col("file_path").alias("name"), F.col("file_path").alias("qualified_name"), "file_path", F.lit(0).alias("start_line"), F.lit(0).alias("end_line"))
     code = files.where(F.col("language").isNotNull())
     tags = extract_tags(code, "project_id", "file_path")
     qualified = F.concat("file_path", F.lit("::"), "name", F.lit("#"), F.col("start_row").cast("string"))
     defs = tags.where("category <> 'call'").withColumns({"qualified_name": qualified, "kind": F.when(F.col("category") == "function", "Function").otherwise("Type")})
-    defs = latest_by(defs.select("qualified_name", "kind", "name", "file_path", "start_row", "end_row", "seq"), ["qualified_name"], "seq").withColumn("id", key(F.col("qualified_name")))
-    def_nodes = defs.select("id", "kind", "name", "qualified_name", "file_path", (F.col("start_row") + 1).alias("start_line"), (F.col("end_row") + 1).alias("end_line"))
+    defs = latest_by(defs.select("project_id", "qualified_name", "kind", "name", "file_path", "start_row", "end_row", "seq"), ["project_id", "qualified_name"], "seq").withColumn("id", key(F.col("qualified_name")))
+    def_nodes = defs.select("project_id", "id", "kind", "name", "qualified_name", "file_path", (F.col("start_row") + 1).alias("start_line"), (F.col("end_row") + 1).alias("end_line"))
     marked = extract_sections(files.where(is_markdown(F.col("file_path"))), "project_id", "file_path")
-    position = Window.partitionBy("file_path").orderBy("start_line")
+    position = Window.partitionBy("project_id", "file_path").orderBy("start_line")
     numbered = marked.withColumn("at", F.row_number().over(position) - 1).withColumn("qualified_name", F.concat("file_path", F.lit("::"), "name", F.lit("#"), F.col("start_line").cast("string"))).withColumn("id", key(F.col("qualified_name")))
-    section_nodes = numbered.select("id", F.lit("Section").alias("kind"), "name", "qualified_name", "file_path", "start_line", "end_line")
+    section_nodes = numbered.select("project_id", "id", F.lit("Section").alias("kind"), "name", "qualified_name", "file_path", "start_line", "end_line")
     nodes = file_nodes.unionByName(def_nodes).unionByName(section_nodes)
-    defines = def_nodes.select(file_id.alias("src_id"), F.col("id").alias("dst_id"), F.lit("DEFINES").alias("kind"))
-    parents = numbered.select("file_path", F.col("at").alias("parent"), F.col("id").alias("src_id"))
-    contains = numbered.where("parent is not null").join(parents, ["file_path", "parent"]).select("src_id", F.col("id").alias("dst_id"), F.lit("CONTAINS").alias("kind"))
-    tops = numbered.where("parent is null").select(file_id.alias("src_id"), F.col("id").alias("dst_id"), F.lit("DEFINES").alias("kind"))
-    plain = code.where(longest_line(F.col("content")) <= MINIFIED_LINE_BYTES).select("file_path")
-    sites = tags.where("category = 'call'").join(plain, "file_path", "left_semi").select("project_id", "file_path", F.col("name").alias("callee_name"), "start_row")
-    functions = defs.where("kind = 'Function'").withColumn("project_id", F.lit(project_id))
+    defines = def_nodes.select("project_id", file_id.alias("src_id"), F.col("id").alias("dst_id"), F.lit("DEFINES").alias("kind"))
+    parents = numbered.select("project_id", "file_path", F.col("at").alias("parent"), F.col("id").alias("src_id"))
+    contains = numbered.where("parent is not null").join(parents, ["project_id", "file_path", "parent"]).select("project_id", "src_id", F.col("id").alias("dst_id"), F.lit("CONTAINS").alias("kind"))
+    tops = numbered.where("parent is null").select("project_id", file_id.alias("src_id"), F.col("id").alias("dst_id"), F.lit("DEFINES").alias("kind"))
+    plain = code.where(longest_line(F.col("content")) <= MINIFIED_LINE_BYTES).select("project_id", "file_path")
+    sites = tags.where("category = 'call'").join(plain, ["project_id", "file_path"], "left_semi").select("project_id", "file_path", F.col("name").alias("callee_name"), "start_row")
+    functions = defs.where("kind = 'Function'")
     owned = attribute_asof(functions.withColumn("caller_id", F.col("id")), sites, ["project_id", "file_path"], def_at="start_row", def_id="caller_id", point_at="start_row")
-    calls = resolve_calls(owned, functions.select("project_id", "file_path", "name", "id")).select(F.col("caller_id").alias("src_id"), F.col("callee_id").alias("dst_id"), F.lit("CALLS").alias("kind"))
-    lined = files.select("file_path", text_lines(F.col("content")).alias("lines"))
-    chunks = nodes.where("kind <> 'File'").join(lined, "file_path").select(F.col("id").alias("node_id"), "qualified_name", chunk_text(F.col("lines"), F.col("start_line"), F.col("end_line")).alias("chunk_text"))
-    return IndexedTree(nodes, defines.unionByName(contains).unionByName(tops).unionByName(calls), files.select("file_path", "content"), chunks)
+    calls = resolve_calls(owned, functions.select("project_id", "file_path", "name", "id")).select("project_id", F.col("caller_id").alias("src_id"), F.col("callee_id").alias("dst_id"), F.lit("CALLS").alias("kind"))
+    lined = files.select("project_id", "file_path", text_lines(F.col("content")).alias("lines"))
+    chunks = nodes.where("kind <> 'File'").join(lined, ["project_id", "file_path"]).select("project_id", F.col("id").alias("node_id"), "qualified_name", chunk_text(F.col("lines"), F.col("start_line"), F.col("end_line")).alias("chunk_text"))
+    return IndexedTree(nodes, defines.unionByName(contains).unionByName(tops).unionByName(calls), files.select("project_id", "file_path", "content"), chunks)
 
 
-def add_references(edges: DataFrame, nodes: DataFrame, references: DataFrame) -> DataFrame:
-    """``edges`` with CALLS_RESOLVED rows for resolved references (file_path, line, callee_id): the first node that encloses the line calls."""
+def add_references(edges: DataFrame, nodes: DataFrame, references: DataFrame, *keys: str) -> DataFrame:
+    """``edges`` with CALLS_RESOLVED rows for resolved references (keys, line, callee_id): the first node that encloses the line calls."""
     from kelpgraph.operators.graph import first_enclosing
 
-    callers = first_enclosing(nodes.where("kind <> 'File'"), references)
-    found = references.join(callers, ["file_path", "line"]).select(F.col("node_id").alias("src_id"), F.col("callee_id").alias("dst_id"), F.lit("CALLS_RESOLVED").alias("kind"))
-    return edges.unionByName(found.distinct())
+    keys = keys or ("file_path",)
+    callers = first_enclosing(nodes.where("kind <> 'File'"), references, *keys)
+    found = references.join(callers, [*keys, "line"]).select(F.col("node_id").alias("src_id"), F.col("callee_id").alias("dst_id"), F.lit("CALLS_RESOLVED").alias("kind"))
+    return edges.unionByName(found.distinct(), allowMissingColumns=True)
 
 
 def embed_chunks(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]], model: str, *, batch: int = 32) -> DataFrame:

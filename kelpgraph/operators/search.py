@@ -62,7 +62,9 @@ def snippet(text: Column, query: str, tokens: int = SNIPPET_TOKENS) -> Column:
             if not value or wanted is None:
                 return None
             folded = fold(value)
-            hit = wanted.search(folded) if len(folded) == len(value) else None
+            if len(folded) != len(value):  # lower case may be longer; then each character is folded by itself
+                folded = "".join(fold(c)[:1] or c for c in value)
+            hit = wanted.search(folded)
             if hit is None:
                 return None
             before = [m.span() for m in token.finditer(value, 0, hit.start())]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpgraph.functions.text import ascii_lower, keyword_words
+from kelpgraph.functions.text import keyword_words, like_ascii
 from kelpgraph.operators.files import line_window
 from kelpgraph.operators.search import search_by_name
 
@@ -28,9 +28,9 @@ def keyword_search(nodes: DataFrame, query: str, *, per_word: int = WORD_LIMIT)
     words = keyword_words(query)
     if not words:
         return nodes.limit(0).withColumns({"word_at": F.lit(0), "place": F.lit(0)})
-    table = F.array(*[F.struct(F.lit(i).alias("word_at"), F.lit(w.lower() if w.isascii() else w).alias("word")) for i, w in enumerate(words)])
-    lower = ascii_lower(F.col("name"))
-    hits = nodes.withColumn("w", F.explode(F.filter(table, lambda x: F.contains(lower, ascii_lower(x["word"])))))
+    # a word is a pattern as in a search by name: _ stands for any character
+    held = F.array_compact(F.array(*[F.when(like_ascii(F.col("name"), w), F.struct(F.lit(i).alias("word_at"))) for i, w in enumerate(words)]))
+    hits = nodes.withColumn("w", F.explode(held))
     order = Window.partitionBy("w.word_at").orderBy("name", "id")
     ranked = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_word).withColumn("word_at", F.col("w.word_at")).drop("w")
     first = Window.partitionBy("qualified_name").orderBy("word_at", "place")

@@ -17,7 +17,6 @@ from kelpgraph.plans.pattern import pattern_query
 from kelpgraph.plans.router import keyword_search
 from kelpgraph.session import table
 from kelpgraph.sources.languages import language_of
-from kelpgraph.sources.scan import content_signature
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -173,11 +172,6 @@ def neighbour_names(spark: SparkSession, d: str) -> DataFrame:
     return G.neighbour_names(_graph(spark, d)).select("id", F.array_join("callees", "|").alias("callees"), F.array_join("callers", "|").alias("callers"))
 
 
-@query()
-def call_notes(spark: SparkSession, d: str) -> DataFrame:
-    return G.call_notes(_graph(spark, d), _embeddings(spark, d).groupBy(F.col("node_id").alias("id")).agg(F.min_by("chunk_text", "model").alias("chunk_text")))
-
-
 @query(f"WITH {_NODES} SELECT id, regexp_replace(qualified_name, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') AS link FROM nodes_u")
 def wikilinks(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d).select("id", X.wikilink_name(F.col("qualified_name")).alias("link"))
@@ -225,12 +219,12 @@ def phrase_snippets(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("project_id", "file_path", search.snippet(F.col("content"), "nightly run").alias("snippet"))
 
 
-@query(f"""WITH {_NODES}, w AS (SELECT unnest([0, 1]) AS word_at, unnest(['anchor', 'ferry']) AS word),
-h AS (SELECT n.*, w.word_at, row_number() OVER (PARTITION BY word_at ORDER BY name, id) AS place FROM nodes_u n JOIN w ON contains(lower(n.name), w.word)),
+@query(f"""WITH {_NODES}, w AS (SELECT unnest([0, 1, 2]) AS word_at, unnest(['anchor', 'ferry', '_or']) AS word),
+h AS (SELECT n.*, w.word_at, row_number() OVER (PARTITION BY word_at ORDER BY name, id) AS place FROM nodes_u n JOIN w ON lower(n.name) LIKE '%' || w.word || '%'),
 f AS (SELECT *, row_number() OVER (PARTITION BY qualified_name ORDER BY word_at, place) AS r FROM h WHERE place <= 10)
 SELECT id, name, word_at, place FROM f WHERE r = 1""")
 def keyword_router(spark: SparkSession, d: str) -> DataFrame:
-    return keyword_search(_nodes(spark, d), "find the anchor, or a Ferry").select("id", "name", "word_at", "place")
+    return keyword_search(_nodes(spark, d), "find the anchor, or a Ferry (_or)").select("id", "name", "word_at", "place")
 
 
 @query(f"WITH {_NODES} SELECT regexp_matches(name, '^[\\p{{L}}_][\\p{{L}}\\p{{N}}_]*$') AS identifier, count(*) AS n FROM nodes_u GROUP BY 1")
@@ -323,7 +317,7 @@ def resolve_calls(spark: SparkSession, d: str) -> DataFrame:
     functions = _nodes(spark, d).where("kind = 'Function'").select("project_id", "file_path", "name", "id")
     following = F.lead("name").over(Window.partitionBy("project_id").orderBy("id"))
     calls = functions.select("project_id", "file_path", F.col("id").alias("caller_id"), following.alias("callee_name")).where("callee_name is not null")
-    return ingest.resolve_calls(calls, functions)
+    return ingest.resolve_calls(calls, functions).drop("project_id")
 
 
 @query(f"WITH {_FILES} SELECT project_id, file_path, run_id, length(content) AS characters FROM files")
@@ -373,12 +367,6 @@ def chunk_truncate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "node_embeddings").select("id", "chunk_text").distinct().select("id", F.md5(X.chunk_truncate(F.col("chunk_text"), 500)).alias("text_md5"))
 
 
-@query()
-def byte_truncate(spark: SparkSession, d: str) -> DataFrame:
-    cut = table(spark, d, "documents").select("doc_id", X.byte_truncate(F.col("text")).alias("t"))
-    return cut.select("doc_id", "t.text", "t.truncated")
-
-
 @query(f"WITH {_FILES} SELECT project_id, file_path, list_max([strlen(x) for x in string_split(content, chr(10))])::INT AS longest FROM files WHERE list_max([strlen(x) for x in string_split(content, chr(10))]) > 2000")
 def minified_guard(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("project_id", "file_path", X.longest_line(F.col("content")).alias("longest")).where("longest > 2000")
@@ -394,12 +382,6 @@ def language_files(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).groupBy(language_of(F.col("file_path")).alias("language")).agg(F.count("*").alias("files"))
 
 
-@query()
-def content_signatures(spark: SparkSession, d: str) -> DataFrame:
-    files = _files(spark, d).select("project_id", "file_path", F.octet_length("content").alias("length"), F.col("indexed_at").alias("modified"))
-    return content_signature(files, "project_id")
-
-
 # --- registry, usage, gates ------------------------------------------------
 
 
@@ -481,11 +463,6 @@ def debounce_sessions(spark: SparkSession, d: str) -> DataFrame:
     return registry.debounce_sessions(table(spark, d, "events"), ["user_id"], "ts", 3600)
 
 
-@query()
-def cooldown_filter(spark: SparkSession, d: str) -> DataFrame:
-    return registry.cooldown_filter(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], "ts", 6 * 3600)
-
-
 @query("SELECT project_id, count(*) AS runs, count(finished_at) AS finished, sum(files_indexed)::BIGINT AS files, sum(nodes)::BIGINT AS nodes, sum(edges)::BIGINT AS edges, max(finished_at) AS last_finished FROM (SELECT DISTINCT * FROM index_runs) GROUP BY 1")
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "index_runs").distinct()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder.
 
     A cluster names it in ``spark.checkpoint.dir``; it is read from the session
-    and used as it stands. Only where it is unset (tests, one machine) a folder
-    of our own is made, and only for a local master.
+    and used as it stands. Only where it is unset, and only for a master of one
+    machine (tests), a folder of our own is made; it goes when the process ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -45,9 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not named:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "kelpgraph-checkpoints")
+        named = tempfile.mkdtemp(prefix="kelpgraph-checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return named
 

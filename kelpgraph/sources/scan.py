@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import fnmatch
 import ipaddress
 import json
 import os
 import re
 import tomllib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpgraph.functions.text import is_noise
@@ -19,27 +20,57 @@ from kelpgraph.model import PROJECTS, USAGE
 from kelpgraph.sources.languages import is_indexed, language_of
 
 IGNORE_FILES = (".gitignore", ".ignore", ".kelpgraphignore")
+NOISE = frozenset([".git", "target", "node_modules", ".kelpgraph"])
 
 
 class NotIndexed(FileNotFoundError):
     """A project has no index yet."""
 
 
-def ignore_rules(root: str) -> list[str]:
-    """The patterns of the root's ignore files; negations and comments are left out."""
+def ignore_rules(root: str) -> list[tuple[str, str]]:
+    """(folder, rule) of the ignore files of the root and of all folders below it, outer ones first; comments are left out."""
     out = []
-    for name in IGNORE_FILES:
-        path = os.path.join(root, name)
-        if os.path.isfile(path):
-            with open(path, encoding="utf-8", errors="replace") as file:
-                out += [line.strip() for line in file if line.strip() and not line.startswith(("#", "!"))]
+    for folder, below, names in os.walk(root):
+        below[:] = sorted(d for d in below if d not in NOISE)
+        for name in IGNORE_FILES:
+            if name in names:
+                with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as file:
+                    rules = [line.rstrip("\n").rstrip() for line in file]
+                inner = os.path.relpath(folder, root)
+                out += [("" if inner == "." else inner + "/", rule) for rule in rules if rule and not rule.startswith("#")]
     return out
 
 
-def _rule_regex(rule: str) -> str:
-    anchored = rule.startswith("/") or "/" in rule.rstrip("/")
-    body = fnmatch.translate(rule.strip("/"))[4:-3].replace(".*", "[^/]*")
-    return ("^" if anchored else "(?:^|/)") + body + ("/" if rule.endswith("/") else "(?:/|$)")
+def _rule_regex(folder: str, rule: str) -> str:
+    """A regular expression for the paths that a rule names: ``*`` within a part, ``**`` across parts, a slash at the end for folders only."""
+    bare = rule.strip("/")
+    anchored = "/" in rule.rstrip("/")
+    out, at = [], 0
+    while at < len(bare):
+        if bare.startswith("**/", at):
+            out.append("(?:.*/)?")
+            at += 3
+        elif bare.startswith("**", at):
+            out.append(".*")
+            at += 2
+        elif bare[at] == "[" and "]" in bare[at + 2 :]:
+            close = bare.index("]", at + 2)
+            body = bare[at + 1 : close]
+            out.append("[" + ("^" + body[1:] if body[0] in "!^" else body) + "]")
+            at = close + 1
+        else:
+            out.append({"*": "[^/]*", "?": "[^/]"}.get(bare[at], re.escape(bare[at])))
+            at += 1
+    return "^" + re.escape(folder) + ("" if anchored else "(?:.*/)?") + "".join(out) + ("/" if rule.endswith("/") else "(?:/|$)")
+
+
+def is_ignored(path: Column, rules: list[tuple[str, str]]) -> Column:
+    """Whether a path is ignored: the last rule that names it or a folder above it counts, and one with ``!`` takes it in again."""
+    ignored = F.lit(False)
+    for folder, rule in rules:
+        back = rule.startswith("!")
+        ignored = F.when(path.rlike(_rule_regex(folder, rule[1:] if back else rule)), F.lit(not back)).otherwise(ignored)
+    return ignored
 
 
 def tree_listing(spark: SparkSession, root: str) -> DataFrame:
@@ -48,16 +79,25 @@ def tree_listing(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load("file://" + base)
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base) + "/", "")
     rows = files.select(relative.alias("file_path"), "path", "length", F.col("modificationTime").alias("modified")).where(is_indexed(F.col("file_path")) & ~is_noise(F.col("file_path")))
-    for rule in ignore_rules(base):
-        rows = rows.where(~F.col("file_path").rlike(_rule_regex(rule)))
-    return rows
+    return rows.where(~is_ignored(F.col("file_path"), ignore_rules(base)))
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, content, language) of the indexed files below a root; bad UTF-8 becomes replacement characters."""
-    kept = tree_listing(spark, root).select("file_path", "path")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load("file://" + os.path.realpath(root)).select("path", "content")
-    return files.join(kept, "path").select("file_path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")).withColumn("language", language_of(F.col("file_path")))
+    """(file_path, content, language) of the indexed files below a root; bad UTF-8 becomes replacement characters.
+
+    Only the files that the listing keeps are opened, by the executors; the
+    root lies on storage that all of them mount.
+    """
+    base = os.path.realpath(root)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open(os.path.join(base, path), "rb") as file:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([file.read().decode("utf-8", errors="replace")], pa.string())], names=["file_path", "content"])
+
+    kept = tree_listing(spark, root).select("file_path").repartition("file_path")
+    return kept.mapInArrow(read, "file_path string, content string").withColumn("language", language_of(F.col("file_path")))
 
 
 def content_signature(listing: DataFrame, *keys: str) -> DataFrame:

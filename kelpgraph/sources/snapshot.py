@@ -8,7 +8,8 @@ import shutil
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from kelpgraph.sources.scan import NotIndexed
 
@@ -80,8 +81,17 @@ def delete_store(store: str) -> None:
 
 
 def write_notes(notes: DataFrame, folder: str) -> int:
-    """Writes (file_name, note) rows as files into a folder that all executors share; returns their number."""
+    """Writes (file_name, note) rows as files into a folder that all executors share; returns their number.
+
+    Of several notes of one base name the first by its text keeps the name, the
+    others get -2, -3 and so on before the extension; no note is lost.
+    """
     os.makedirs(folder, exist_ok=True)
+    base = F.element_at(F.split("file_name", "/"), -1)
+    place = F.row_number().over(Window.partitionBy("_base").orderBy("file_name", "note"))
+    named = notes.select(base.alias("_base"), "file_name", "note").withColumn("_place", place)
+    unique = F.when(F.col("_place") == 1, F.col("_base")).otherwise(F.concat(F.regexp_replace("_base", r"\.[^.]*$", ""), F.lit("-"), F.col("_place").cast("string"), F.regexp_extract("_base", r"(\.[^.]*)$", 1)))
+    notes = named.select(unique.alias("file_name"), "note")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,13 +19,13 @@ def names(frame):
 
 
 def test_trace_fans_out_and_returns_each_node_once(spark):
-    g = graph_of(spark, ["root", "a", "b", "c", "leaf"], [("root", "a"), ("root", "b"), ("root", "c"), ("a", "leaf"), ("b", "leaf")])
-    assert names(G.trace_calls(g, "root", depth=3)) == ["a", "b", "c", "leaf"]
+    g = graph_of(spark, ["open", "read", "parse", "trim", "count"], [("open", "read"), ("open", "parse"), ("parse", "trim"), ("read", "trim"), ("trim", "count"), ("parse", "count")])
+    assert names(G.trace_calls(g, "open", depth=4)) == ["count", "parse", "read", "trim"]
 
 
 def test_trace_inbound(spark):
-    g = graph_of(spark, ["a", "b", "c", "target"], [("a", "target"), ("b", "target"), ("c", "target")])
-    assert names(G.trace_calls(g, "target", inbound=True, depth=3)) == ["a", "b", "c"]
+    g = graph_of(spark, ["save", "sync", "main", "log"], [("save", "log"), ("sync", "save"), ("main", "sync")])
+    assert names(G.trace_calls(g, "log", inbound=True, depth=2)) == ["save", "sync"]
 
 
 def test_trace_depth_and_cycles(spark):
