@@ -54,25 +54,38 @@ def dead_functions(graph: PropertyGraph) -> DataFrame:
     return graph.nodes.where("kind = 'Function'").join(called, "id", "left_anti").select(*NODE_COLUMNS)
 
 
+#: Lines of a bin: ranges and points meet only inside the bins that they touch.
+BIN_LINES = 64
+
+
+def _bins(start: Column, end: Column) -> Column:
+    low, high = (F.floor(F.greatest(x, F.lit(0)) / BIN_LINES).cast("int") for x in (start, end))
+    return F.explode(F.sequence(low, F.greatest(low, high)))
+
+
 def nodes_overlapping(nodes: DataFrame, hunks: DataFrame, *keys: str) -> DataFrame:
     """Non-file nodes whose lines meet a hunk (start, end) of the same ``keys``; once for each hunk they meet.
 
-    An open end_line means the start line. The equality on the keys keeps it a
-    hash or merge join with the range as a residual.
+    An open end_line means the start line. Both sides are laid out over bins of
+    ``BIN_LINES`` lines, so that a long file is no product of its nodes and
+    hunks; a pair counts in the first bin that both touch.
     """
     keys = keys or ("file_path",)
-    h = hunks.select(*keys, "start", "end")
     last = F.coalesce("end_line", "start_line")
-    joined = nodes.where("kind <> 'File'").join(h, list(keys))
-    return joined.where((F.col("start_line") <= F.col("end")) & (last >= F.col("start")))
+    h = hunks.select(*keys, "start", "end").where(F.col("start") <= F.col("end")).withColumn("_bin", _bins(F.col("start"), F.col("end")))
+    n = nodes.where("kind <> 'File'").withColumn("_bin", _bins(F.col("start_line"), last))
+    joined = n.join(h, [*keys, "_bin"]).where((F.col("start_line") <= F.col("end")) & (last >= F.col("start")))
+    first = F.floor(F.greatest(F.greatest("start_line", "start"), F.lit(0)) / BIN_LINES).cast("int")
+    return joined.where(F.col("_bin") == first).drop("_bin")
 
 
 def first_enclosing(nodes: DataFrame, points: DataFrame, *keys: str) -> DataFrame:
-    """For each point (keys, line) the enclosing node that comes first by id: (keys, line, node_id)."""
+    """For each point (keys, line) the enclosing node that comes first by id: (keys, line, node_id). A point meets the nodes of its bin of lines."""
     keys = keys or ("file_path",)
     last = F.coalesce("end_line", "start_line")
-    joined = points.select(*keys, "line").distinct().join(nodes.select(*keys, "id", "start_line", last.alias("last")), list(keys))
-    inside = joined.where((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("last")))
+    binned = nodes.select(*keys, "id", "start_line", last.alias("last")).where(F.col("start_line") <= F.col("last")).withColumn("_bin", _bins(F.col("start_line"), F.col("last")))
+    asked = points.select(*keys, "line").distinct().withColumn("_bin", F.floor(F.greatest("line", F.lit(0)) / BIN_LINES).cast("int"))
+    inside = asked.join(binned, [*keys, "_bin"]).where((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("last")))
     return inside.groupBy(*keys, "line").agg(F.min("id").alias("node_id"))
 
 
@@ -100,14 +113,20 @@ def graph_stats(graph: PropertyGraph) -> DataFrame:
 
 
 def architecture(nodes: DataFrame, edges: DataFrame, *, top: int = 10) -> DataFrame:
-    """(project_id, part, label, n): counts of nodes and edges, the busiest files and the extensions of every project."""
-    totals = nodes.groupBy("project_id").agg(F.count("*").alias("n")).select("project_id", F.lit("total").alias("part"), F.lit("nodes").alias("label"), "n")
+    """(project_id, part, label, n): counts of nodes and edges, the busiest files and the extensions of every project.
+
+    The nodes are counted once by file; all parts but the edges come of these counts.
+    """
+    is_file = F.col("kind") == "File"
+    per_file = nodes.groupBy("project_id", "file_path").agg(F.count("*").alias("all"), F.count_if(is_file).alias("files"), F.count_if(~is_file).alias("n"))
+    ext = F.coalesce(path_extension(F.col("file_path")), F.lit("(no extension)"))
+    entry = lambda part, label, n: F.struct(F.lit(part).alias("part"), label.alias("label"), n.alias("n"))
+    counted = per_file.select("project_id", F.explode(F.array(entry("total", F.lit("nodes"), F.col("all")), entry("extension", ext, F.col("files")))).alias("e")).select("project_id", "e.*")
+    sums = counted.groupBy("project_id", "part", "label").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
     links = edges.groupBy("project_id").agg(F.count("*").alias("n")).select("project_id", F.lit("total").alias("part"), F.lit("edges").alias("label"), "n")
     order = Window.partitionBy("project_id").orderBy(F.desc("n"), "file_path")
-    busy = busiest_files(nodes, "project_id", "file_path", limit=None).withColumn("r", F.row_number().over(order)).where(F.col("r") <= top)
-    ext = F.coalesce(path_extension(F.col("file_path")), F.lit("(no extension)"))
-    kinds = nodes.where("kind = 'File'").groupBy("project_id", ext.alias("label")).agg(F.count("*").alias("n"))
-    return totals.unionByName(links).unionByName(busy.select("project_id", F.lit("busiest").alias("part"), F.col("file_path").alias("label"), "n")).unionByName(kinds.select("project_id", F.lit("extension").alias("part"), "label", "n"))
+    busy = per_file.where("n > 0").withColumn("r", F.row_number().over(order)).where(F.col("r") <= top)
+    return sums.unionByName(links).unionByName(busy.select("project_id", F.lit("busiest").alias("part"), F.col("file_path").alias("label"), "n"))
 
 
 def neighbour_names(graph: PropertyGraph) -> DataFrame:

@@ -339,3 +339,24 @@ def resolved_references(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_GRAPH}, {_reach('src_id', 'dst_id', 2)}, starts2 AS (SELECT id FROM starts), back AS (SELECT id, 0 AS depth FROM starts2 UNION SELECT c.src_id, r.depth + 1 FROM back r JOIN hops c ON c.dst_id = r.id WHERE r.depth < 2), ids AS (SELECT id FROM reach UNION SELECT id FROM back), known AS (SELECT n.id, n.name FROM ids JOIN nodes_u n USING (id)) SELECT 0 AS part, id AS src_id, NULL::BIGINT AS dst_id, '  n' || id || ' [label=\"' || name || '\"];' AS line FROM known UNION ALL SELECT 1, src_id, dst_id, '  n' || src_id || ' -> n' || dst_id || ';' FROM hops WHERE src_id IN (SELECT id FROM known) AND dst_id IN (SELECT id FROM known)")
 def call_dot(spark: SparkSession, d: str) -> DataFrame:
     return graph.call_dot_lines(_graph(spark, d), _hub(spark, d), depth=2)
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events table as a stream of files; the pattern also names a table of one file."""
+    rows = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/[e]vents.parquet")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS begin, event_type, count(*) AS events FROM events GROUP BY 1, 2")
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The events read as a stream, counted in windows of a day."""
+    found = changes.run_available(changes.counted_windows(_stream(spark, d), ["event_type"], "ts", "1 day"), "complete")
+    return found.select("begin", "event_type", "events")
+
+
+@query("WITH RECURSIVE o AS (SELECT user_id AS path, epoch_us(ts) // 1000000 AS t, length(event_type) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, length(event_type)) AS n FROM events WHERE ts IS NOT NULL), g AS (SELECT path, n, t AS last, s AS seen, true AS passed FROM o WHERE n = 1 UNION ALL SELECT o.path, o.n, CASE WHEN o.t - g.last >= 3600 AND o.s <> g.seen THEN o.t ELSE g.last END, CASE WHEN o.t - g.last >= 3600 AND o.s <> g.seen THEN o.s ELSE g.seen END, o.t - g.last >= 3600 AND o.s <> g.seen FROM g JOIN o ON o.path = g.path AND o.n = g.n + 1) SELECT path::VARCHAR AS path, count(*) AS passed, max(last) AS last FROM g WHERE passed GROUP BY 1")
+def stream_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The events read as a stream through the gate: no change within an hour of the last one, nor with its signature."""
+    events = _stream(spark, d).where("ts is not null").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("at"), F.length("event_type").cast("long").alias("signature"))
+    passed = changes.run_available(changes.gated_changes(events, 3600, forget=10 * 365 * 86_400))
+    return passed.groupBy("path").agg(F.count("*").alias("passed"), F.max(F.unix_seconds("at")).alias("last"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -9,9 +10,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpgraph.session import ensure_checkpoint_dir
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and returns what it gave out, written below the shared checkpoint folder.
+
+    ``complete`` keeps the last state of the result; ``append`` all rows given out.
+    """
+    folder = f"{ensure_checkpoint_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "complete":
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")).start()
+    else:
+        query = writer.format("parquet").start(f"{folder}/rows")
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def debounced(events: DataFrame, keys: list[str], at: str, gap: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
     """Bursts of a stream as session windows: (keys, first_at, until, events), given out once the watermark passes them."""
     sessions = events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), *keys).agg(F.count("*").alias("events"))
