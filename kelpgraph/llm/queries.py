@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpgraph.llm import credentials, docpairs, invalid, mixing, packing, provenance, residue, splitting, vectors
@@ -69,6 +69,16 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(_oversized(spark, sf_dir))
 
 
+def p4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each split item put together again from its pieces, their overlaps taken off: characters and hash, and whether all pieces keep the limit."""
+    pieces = splitting.split_items(_oversized(spark, sf_dir))
+    before = F.lag("end_char").over(Window.partitionBy("src", "item_id").orderBy("piece_no"))
+    cut = pieces.withColumn("before", F.coalesce(before, F.lit(0))).select("src", "item_id", "piece_no", "end_char", F.expr("substring(text, cast(before - start_char as int) + 1)").alias("part"), F.length("text").alias("size"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "part"))), lambda x: x["part"]), "")
+    whole = cut.groupBy("src", "item_id").agg(F.max("end_char").alias("characters"), joined.alias("text"), (F.max("size") <= splitting.LIMIT).alias("kept"))
+    return whole.select("src", F.col("item_id").cast("long").alias("item_id"), "characters", F.md5("text").alias("text_md5"), "kept")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docpairs.documented_functions(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "file_contents"))
     return found.select("node_id", F.col("doc_line").cast("long").alias("doc_line")).distinct()
@@ -103,6 +113,33 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_fill(_packed(spark, sf_dir), table(spark, sf_dir, "pack_bins"))
 
 
+def p7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By class and document: whether its pieces are its tokens without a gap, in as few pieces as its length allows, and no container is too full."""
+    documents = table(spark, sf_dir, "documents")
+    described = cut_lineage(packing.described_documents(documents))
+    bins = table(spark, sf_dir, "pack_bins")
+    packed = cut_lineage(packing.pack_documents(documents, bins, described=described))
+    sizes = F.broadcast(bins.groupBy("bin_class").agg(F.max("capacity_tokens").alias("capacity")))  # given by hand
+    fill = packed.groupBy("bin_class", "container").agg(F.sum(F.col("end_token") - F.col("start_token")).alias("used")).join(sizes, "bin_class")
+    over = fill.groupBy("bin_class").agg(F.max((F.col("used") > F.col("capacity")).cast("int")).alias("over"))
+    each = packed.groupBy("bin_class", "doc_id").agg(F.sum(F.col("end_token") - F.col("start_token")).alias("tokens"), F.min("start_token").alias("first"), F.max("end_token").alias("last"), F.count("*").alias("pieces"))
+    both = each.join(described.select("doc_id", F.col("tokens").alias("size")), "doc_id").join(sizes, "bin_class").join(F.broadcast(over), "bin_class")
+    fewest = F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity")))
+    return both.groupBy("bin_class").agg(F.count("*").alias("documents"), F.min((F.col("tokens") == F.col("size")) & (F.col("first") == 0) & (F.col("last") == F.col("size"))).alias("whole"), F.min(F.col("pieces") == fewest).alias("fewest"), (F.max("over") == 0).alias("within"))
+
+
+def p8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By target: whether no text was drawn more often than allowed or twice in a repeat, and the mix goes on without a gap up to the budget."""
+    sized = cut_lineage(mixing.sized_documents(table(spark, sf_dir, "documents")))
+    targets = table(spark, sf_dir, "mix_targets")
+    mix = cut_lineage(mixing.mix_sources(sized, targets))
+    limits = mixing.clean_targets(targets).select("source", "max_repeats")
+    drawn = mix.groupBy("source", "doc_id").agg(F.max("repeat").alias("most"), F.count("*").alias("times"), F.count_distinct("repeat").alias("different"))
+    kept = drawn.join(F.broadcast(limits), "source").groupBy("source").agg(F.min((F.col("most") <= F.col("max_repeats")) & (F.col("times") == F.col("different"))).alias("kept"))
+    gaps = mix.agg((F.max(F.col("start") + F.col("tokens")) - F.sum("tokens")).alias("gap"), F.max("tokens").alias("longest")).select((F.col("gap") <= F.col("longest")).alias("gapless"))
+    return limits.join(kept, "source", "left").crossJoin(F.broadcast(gaps)).select("source", F.coalesce("kept", F.lit(True)).alias("kept"), "gapless")  # gaps is one row
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sized_documents(table(spark, sf_dir, "documents"))
     return mixing.mix_sources(cut_lineage(sized), table(spark, sf_dir, "mix_targets"))
@@ -129,14 +166,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_whole": p4_whole,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
     "p7_pack": p7_pack,
     "p7_fill": p7_fill,
+    "p7_whole": p7_whole,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_whole": p8_whole,
     "p9_found": p9_found,
 }
 
@@ -157,4 +197,11 @@ UNION ALL
 SELECT DISTINCT 'chunk', id FROM node_embeddings WHERE length(chunk_text) > 1500
 """
 
-ORACLES: dict[str, str] = {"p4_found": _P4}
+_P4_TEXTS = _P4[: _P4.rindex("SELECT DISTINCT 'section'")] + ", every AS (SELECT DISTINCT 'section' AS src, section_id AS item_id, text FROM texts UNION ALL SELECT DISTINCT 'chunk', id, chunk_text FROM node_embeddings) SELECT src, item_id, length(text) AS characters, md5(text) AS text_md5, true AS kept FROM every WHERE length(text) > 1500"
+
+ORACLES: dict[str, str] = {
+    "p4_found": _P4,
+    "p4_whole": _P4_TEXTS,
+    "p7_whole": "SELECT bin_class, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, true AS whole, true AS fewest, true AS within FROM pack_bins",
+    "p8_whole": "SELECT DISTINCT source, true AS kept, true AS gapless FROM mix_targets WHERE source IS NOT NULL AND target_share > 0",
+}
