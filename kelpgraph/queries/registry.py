@@ -325,7 +325,9 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("project_id", "file_path", "run_id", F.length("content").alias("characters"))
 
 
-@query()
+@query(f"""WITH {_FILES}, lined AS (SELECT project_id, file_path, len(CASE WHEN right(c, 1) = chr(10) OR c = '' THEN x[1:len(x) - 1] ELSE x END) AS total FROM (SELECT project_id, file_path, content AS c, string_split(content, chr(10)) AS x FROM files)),
+s AS (SELECT DISTINCT section_id, project_id, file_path, name, level, start_line, end_line, parent_id FROM sections), n AS (SELECT *, row_number() OVER (PARTITION BY project_id, file_path ORDER BY start_line) - 1 AS at FROM s)
+SELECT n.project_id, n.file_path, n.name, n.level, n.start_line, least(coalesce(n.end_line, total), total)::INT AS end_line, p.at::INT AS parent FROM n JOIN lined USING (project_id, file_path) LEFT JOIN n p ON p.section_id = n.parent_id""")
 def section_rows(spark: SparkSession, d: str) -> DataFrame:
     return ingest.extract_sections(_files(spark, d).where(F.col("file_path").rlike(r"\.(md|markdown)$")), "project_id", "file_path")
 
