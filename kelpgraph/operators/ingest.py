@@ -163,11 +163,17 @@ _QUIET = {
 }
 _BRACE = re.compile(r"[{}]")
 _OPENING = re.compile(r"[{;]")
+_BLANKS = re.compile(r"\s*")
+
+
+def _blanked(m: re.Match) -> str:
+    text = m.group()
+    return re.sub(r"[^\n]", " ", text) if "\n" in text else " " * len(text)
 
 
 def quiet_code(source: str, language: str) -> str:
     """The text with its comments and strings blanked, of the same length and lines."""
-    return _QUIET.get(language, _QUIET[""]).sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
+    return _QUIET.get(language, _QUIET[""]).sub(_blanked, source)
 
 
 def _closing_braces(code: str) -> dict[int, int]:
@@ -199,6 +205,9 @@ def tags_of(source: str, language: str | None) -> list[tuple[str, str, int, int,
         closing = _closing_braces(code) if language != "Ruby" else {}
         found, at = [], 0
         for row, line in enumerate(lines):
+            if not line or line.isspace():
+                at += len(line) + 1
+                continue
             here = None
             for category, pattern in (("type", types), ("function", functions)):
                 m = pattern.match(line)
@@ -228,8 +237,7 @@ def _last_row(code: str, lines: list[str], language: str, category: str, row: in
         return row if re.search(r"\bend\s*$|\)\s*=\s|;\s*end\b", line) else next(ends, row)
     arrow = m.group().rstrip().endswith("=>")
     if arrow:
-        rest = code[at + m.end() :]
-        begin = at + m.end() + len(rest) - len(rest.lstrip())
+        begin = _BLANKS.match(code, at + m.end()).end()
         if code[begin : begin + 1] != "{":
             return row
     else:
