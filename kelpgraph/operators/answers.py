@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from kelpgraph.functions.text import byte_truncate
 from kelpgraph.operators.registry import clamp_limit, clamp_semantic_limit
 
-# The sets of tools by preset, as text.
-PRESETS = {
-    "minimal": ("search_graph", "get_file_context", "index_repository"),
-    "standard": ("search_graph", "get_file_context", "index_repository", "trace_call_path", "query_planner", "get_architecture", "detect_changes", "search_code"),
-}
+# The tools of each preset; a larger one has those of the smaller ones too.
+MINIMAL = ("index_repository", "search_code", "get_file_context", "get_architecture", "trace_call_path")
+STANDARD = (*MINIMAL, "search_graph", "detect_changes", "detect_dead_code", "query_planner", "get_session_usage")
+FULL = (*STANDARD, "delete_project", "query_graph", "search_codebase", "query_memory")
+PRESETS = {"minimal": MINIMAL, "standard": STANDARD, "full": FULL}
 
 
 def bounded_answer(rows: DataFrame, order: list, *, limit: int = 100, cap=clamp_limit) -> DataFrame:
@@ -53,17 +53,16 @@ def freshness_note(since: Column, warm: Column) -> Column:
     return F.when(~warm, F.when(since.isNull(), F.lit("not indexed yet")).otherwise(F.concat(F.lit("index is "), F.floor(since / 60).cast("string"), F.lit(" minutes old"))))
 
 
-def resolved_tools(known: list[str], preset: str | None, explicit: list[str] | None = None) -> list[str]:
-    """The tools that are on: an explicit list goes before the preset, unknown names are dropped, an unknown preset is all."""
-    wanted = explicit if explicit else PRESETS.get(preset or "", tuple(known))
-    return [name for name in known if name in set(wanted)]
+def resolved_tools(preset: str = "standard", explicit: list[str] | None = None) -> list[str]:
+    """The tools that are on. A list that is given, even an empty one, goes before the preset; unknown names in it are dropped."""
+    if explicit is None:
+        return list(PRESETS[preset])
+    return [name for name in FULL if name in set(explicit)]
 
 
-def enabled_definitions(catalog: DataFrame, preset: str | None, explicit: list[str] | None = None) -> DataFrame:
+def enabled_definitions(catalog: DataFrame, names: list[str]) -> DataFrame:
     """The rows of a catalog (name, ...) whose tools are on."""
-    if explicit:
-        return catalog.where(F.col("name").isin(*explicit))
-    return catalog.where(F.col("name").isin(*PRESETS[preset])) if preset in PRESETS else catalog
+    return catalog.where(F.col("name").isin(*names)) if names else catalog.limit(0)
 
 
 def session_usage(calls: DataFrame, *keys: str) -> DataFrame:

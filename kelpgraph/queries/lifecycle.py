@@ -234,10 +234,13 @@ def session_totals(spark: SparkSession, d: str) -> DataFrame:
     return answers.session_totals(answers.session_usage(calls, "name"), 10_000)
 
 
-@query("WITH c AS (SELECT DISTINCT event_type AS name FROM events) SELECT name FROM c WHERE name IN ('view', 'click')")
+@query("SELECT DISTINCT tool AS name, tool = 'search_code' AS minimal, tool IN ('search_code', 'search_codebase') AS whole FROM search_hits WHERE tool IS NOT NULL")
 def enabled_tools(spark: SparkSession, d: str) -> DataFrame:
-    catalog = table(spark, d, "events").select(F.col("event_type").alias("name")).distinct()
-    return answers.enabled_definitions(catalog, "standard", ["view", "click", "unheard-of"])
+    """The tools of past searches, and which of them the smallest and the largest preset have on."""
+    catalog = table(spark, d, "search_hits").where("tool is not null").select(F.col("tool").alias("name")).distinct()
+    on = lambda preset, column: answers.enabled_definitions(catalog, answers.resolved_tools(preset)).withColumn(column, F.lit(True))
+    both = catalog.join(on("minimal", "minimal"), "name", "left").join(on("full", "whole"), "name", "left")
+    return both.na.fill(False, ["minimal", "whole"])
 
 
 @query("WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts IS NOT NULL), g AS (SELECT user_id, event_id, n, t AS last, true AS passed FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.n, CASE WHEN o.t - g.last >= 21600 * 1000000::BIGINT THEN o.t ELSE g.last END, o.t - g.last >= 21600 * 1000000::BIGINT FROM g JOIN o ON o.user_id = g.user_id AND o.n = g.n + 1) SELECT user_id, event_id FROM g WHERE passed")

@@ -38,11 +38,11 @@ def test_json_has_sorted_keys_and_nulls(spark):
 
 
 def test_tools_of_a_preset(spark):
-    known = ["search_graph", "get_file_context", "trace_call_path", "index_repository", "odd_tool"]
-    assert answers.resolved_tools(known, "minimal") == ["search_graph", "get_file_context", "index_repository"]
-    assert answers.resolved_tools(known, "minimal", ["odd_tool", "unknown"]) == ["odd_tool"] and answers.resolved_tools(known, "no such preset") == known
-    catalog = spark.createDataFrame([(k,) for k in known], "name string")
-    assert answers.enabled_definitions(catalog, "minimal").count() == 3 and answers.enabled_definitions(catalog, None).count() == 5
+    assert [len(answers.resolved_tools(p)) for p in ("minimal", "standard", "full")] == [5, 10, 14] and answers.resolved_tools() == answers.resolved_tools("standard")
+    assert answers.resolved_tools("minimal", ["query_graph", "unknown"]) == ["query_graph"] and answers.resolved_tools("full", []) == []
+    catalog = spark.createDataFrame([("search_code",), ("query_graph",), ("odd",)], "name string")
+    assert [r["name"] for r in answers.enabled_definitions(catalog, answers.resolved_tools("minimal")).collect()] == ["search_code"]
+    assert answers.enabled_definitions(catalog, []).count() == 0
 
 
 def test_touch_moves_forward_only(spark):
