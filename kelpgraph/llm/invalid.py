@@ -39,11 +39,11 @@ def lexer_of(name: str, tables: dict[str, Tables]) -> Lexer:
 
 
 def parsed_files(contents: DataFrame) -> DataFrame:
-    """(project_id, file_path, language, error_token): current source files; error_token is -1 for valid ones,
-    -2 for those left undecided (more than ``UNDECIDED`` stacks at one token).
+    """(project_id, file_path, language, error_token): current source files; error_token is -1 for valid ones.
 
-    An empty or null content is an empty file, valid in languages that allow
-    one. Markdown and unknown extensions are left out.
+    Every text is decided, however ambiguous its grammar is there. An empty or
+    null content is an empty file, valid in languages that allow one. Markdown
+    and unknown extensions are left out.
     """
     shared = contents.sparkSession.sparkContext.broadcast(all_tables())
 
@@ -69,7 +69,8 @@ def invalid_rates(contents: DataFrame, runs: DataFrame) -> DataFrame:
 
     ``files_reported`` is the sum of files_indexed over the project's distinct
     runs that have finished, ``files_stored`` the distinct files of these runs in
-    file_contents; runs without a count add nothing.
+    file_contents; runs without a count add nothing. ``undecided`` is 0, as every
+    file is decided.
     """
     rates = parsed_files(contents).groupBy("project_id", "language").agg(F.count("*").alias("files"), F.sum((F.col("error_token") >= 0).cast("long")).alias("invalid"), F.sum((F.col("error_token") == -2).cast("long")).alias("undecided"))
     reported = runs.where("files_indexed is not null and project_id is not null").groupBy("project_id", "run_id").agg(F.max("files_indexed").alias("n")).groupBy("project_id").agg(F.sum("n").alias("files_reported"))

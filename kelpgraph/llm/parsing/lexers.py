@@ -89,8 +89,8 @@ class Lexer:
         return list(map(self.memo.__getitem__, self.regex.findall(text + "\n\0")))
 
     def first_error(self, text: str) -> int:
-        """The number of the first token at which no parse goes on, -1 for a valid text, -2 for one left undecided."""
-        return self.parser.first_error(self.numbers(text.replace("\r\n", "\n")))
+        """The number of the first token at which no parse goes on, -1 for a valid text."""
+        return self.parser.decide(self.numbers(text.replace("\r\n", "\n")))
 
 
 class C(Lexer):
@@ -227,7 +227,7 @@ class Python(Lexer):
             if at >= len(body):
                 return False
             expression = re.sub(r"\s*(?:(?<![=!<>])=\s*)?(?:![rsa]\s*)?$", "", expression)
-            if not expression.strip() or self.parser.first_error(self.numbers(f"({expression}\n)")) != -1 and self.parser.first_error(self.numbers(f"[{expression}\n]")) != -1:
+            if not expression.strip() or self.parser.decide(self.numbers(f"({expression}\n)")) != -1 and self.parser.decide(self.numbers(f"[{expression}\n]")) != -1:
                 return False
             at += 1
         return True
@@ -240,7 +240,7 @@ class Python(Lexer):
         fresh = False  # the last token ended a line
         column = 0
         started = True
-        for lexeme in lexemes:
+        for lexeme in lexemes[:-1]:  # a NUL before the last one is none of the end
             if lexeme[0] == "\n":
                 if depth == 0:
                     if not started:
@@ -248,8 +248,6 @@ class Python(Lexer):
                         started = True
                     column = len(lexeme.expandtabs(8)) - 1
                 continue
-            if lexeme == "\0":
-                break
             if started and depth == 0:
                 if column > levels[-1]:
                     levels.append(column)
@@ -305,10 +303,10 @@ class _Script(Lexer):
     def first_error(self, text: str) -> int:
         """As for all; whether a slash at the beginning of a line divides or opens a pattern is left to the parser: a text is invalid if it is so both ways."""
         text = text.replace("\r\n", "\n")
-        found = self.parser.first_error(self._numbers(text, self.regex))
+        found = self.parser.decide(self._numbers(text, self.regex))
         if found >= 0 and re.search(r"^[ \t]*/(?![/*])", text, re.M):
             self.other = getattr(self, "other", None) or re.compile(self.pattern.replace(self._regex, self._opening), self.flags)
-            found = min(found, self.parser.first_error(self._numbers(text, self.other)))
+            found = min(found, self.parser.decide(self._numbers(text, self.other)))
         return found
 
 
@@ -391,6 +389,8 @@ class Php(Lexer):
                     out += [ids["';"], ids["CLOSE"]]
                     at += found.end()
                     break
+                if lexeme == "\0" and found.end() < len(body):
+                    return [*out, BAD]
                 out.append(memo[lexeme])
                 if lexeme == "\0":
                     return [*out, 0]

@@ -8,7 +8,9 @@ where several actions apply, all are kept.
 ``Recogniser`` runs all of them at once over sets of stacks. Stacks and their
 sets are interned, and a step from a set by a token is computed once and looked
 up afterwards: over many files of one language nearly every token costs one
-dictionary access.
+dictionary access. The few texts with too many stacks for that are run again
+over stacks that share what they have in common, one top for each state, so
+that their number no longer matters.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from dataclasses import dataclass, field
 
 _PIECE = re.compile(r"'((?:[^'\\]|\\.)+)'|([A-Za-z_]\w*)|([*+?|()%])|(\s+)")
 END = "EOF"
-#: So many stacks at one token mean that the grammar is ambiguous without bound there; the text is then called neither valid nor invalid.
-UNDECIDED = 50_000
+#: More stacks at one token are not followed one by one; the text is then decided over shared stacks. Ordinary texts
+#: have at most 32, where looking up is faster; a higher bound changes no verdict, only time and memory.
+UNDECIDED = 256
 
 
 class Grammar:
@@ -212,6 +215,15 @@ def build(grammar: Grammar) -> Tables:
     return Tables(actions, goto, [(ids[n], len(b)) for n, b in rules], terminals, accept)
 
 
+class _Top:
+    """A state on top of all the stacks that end in one of the tops below it."""
+
+    __slots__ = ("state", "below")
+
+    def __init__(self, state: int, below: list[_Top]):
+        self.state, self.below = state, below
+
+
 @dataclass
 class Recogniser:
     """Runs the tables over token numbers. ``newline`` and ``semicolon`` give automatic semicolons where set."""
@@ -234,6 +246,13 @@ class Recogniser:
         self.nodes, self.node_ids, self.sets, self.set_ids, self.steps = [], {}, [], {}, {}
         self.begin = self._set(frozenset([self._node(0, -1)]), False)
 
+    def _forget(self, nodes: int, sets: int, steps: int) -> None:
+        """Back to so many nodes, sets and steps: what a text with too many stacks has left is large and of no use to others."""
+        for ids, size in ((self.node_ids, nodes), (self.set_ids, sets), (self.steps, steps)):
+            while len(ids) > size:
+                ids.popitem()
+        del self.nodes[nodes:], self.sets[sets:]
+
     def _node(self, state: int, parent: int) -> int:
         key = (state, parent)
         found = self.node_ids.get(key)
@@ -284,11 +303,17 @@ class Recogniser:
             found = self._advance(closed, token) if closed else found
         return self._set(found, False) if found else -1
 
+    def decide(self, tokens: list[int]) -> int:
+        """The number of the first token that no parse can take, -1 for none; the tokens end with EOF's number."""
+        found = self.first_error(tokens)
+        return self.shared_error(tokens) if found == -2 else found
+
     def first_error(self, tokens: list[int]) -> int:
-        """The number of the first token that no parse can take, -1 for none, -2 if the text is left undecided; the tokens end with EOF's number."""
+        """As ``decide``, by stacks followed one by one; -2 if these are more than ``UNDECIDED`` at one token."""
         if len(self.steps) > self.limit:
             self._reset()
         steps, at = self.steps, self.begin
+        before = len(self.nodes), len(self.sets), len(steps)
         for i, token in enumerate(tokens):
             key = at << 9 | token
             following = steps.get(key)
@@ -296,9 +321,72 @@ class Recogniser:
                 try:
                     following = self._step(at, token)
                 except OverflowError:
+                    self._forget(*before)
                     return -2
                 steps[key] = following
             if following < 0:
                 return i
             at = following
         return -1
+
+    def shared_error(self, tokens: list[int]) -> int:
+        """As ``decide``, by shared stacks alone; slower for each token, and for any number of stacks."""
+        tops, after = [_Top(0, [])], False
+        for i, token in enumerate(tokens):
+            if token == self.newline:
+                after = True
+                continue
+            found = self._shared_advance(tops, token)
+            if not found and self.semicolon >= 0 and (after or token in self.closers):
+                closed = self._shared_advance(tops, self.semicolon)
+                found = self._shared_advance(closed, token) if closed else found
+            if not found:
+                return i
+            tops, after = found, False
+        return -1
+
+    def _shared_advance(self, tops: list[_Top], token: int) -> list[_Top]:
+        """The tops after the token; ``tops`` stay as they are, as they may be asked again with a semicolon."""
+        actions, goto, rules = self.tables.actions, self.tables.goto, self.tables.rules
+        made: dict[int, _Top] = {}  # what reductions have put on, by state
+        known: set[tuple[int, _Top]] = set()
+        above: dict[_Top, list[_Top]] = defaultdict(list)  # tops made here that stand on a top made here
+        todo: list[tuple[_Top, _Top | None]] = [(top, under) for top in tops for under in (None, *top.below)]
+        while todo:  # a top with one of those below it: the reductions that go through both; with none, the empty ones
+            top, under = todo.pop()
+            for action in actions[top.state].get(token, ()):
+                if action >= 0:
+                    continue
+                name, size = rules[~action]
+                if (size == 0) != (under is None):
+                    continue
+                bases = {top} if under is None else {under}
+                for _ in range(size - 1):
+                    bases = {b for base in bases for b in base.below}
+                for base in bases:
+                    target = goto[base.state].get(name)
+                    if target is None or (target, base) in known:
+                        continue
+                    known.add((target, base))
+                    reached = made.get(target)
+                    if reached is None:
+                        reached = made[target] = _Top(target, [base])
+                        todo.append((reached, None))
+                    else:
+                        reached.below.append(base)
+                    todo.append((reached, base))
+                    if made.get(base.state) is base:
+                        above[base].append(reached)
+                    seen, higher = {reached}, [*above[reached]]
+                    while higher:  # their reductions may go through what is new below
+                        other = higher.pop()
+                        if other not in seen:
+                            seen.add(other)
+                            higher += above[other]
+                            todo += [(other, b) for b in other.below]
+        out: dict[int, _Top] = {}
+        for top in (*tops, *made.values()):
+            for action in actions[top.state].get(token, ()):
+                if action >= 0:
+                    out.setdefault(action, _Top(action, [])).below.append(top)
+        return list(out.values())

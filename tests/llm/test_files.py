@@ -213,3 +213,53 @@ def test_undecided_is_a_state_of_its_own(monkeypatch):
     ids = parser.tables.terminals
     monkeypatch.setattr(tables, "UNDECIDED", 2)
     assert parser.first_error([*[ids["N"], ids["'+"]] * 30, ids["N"], 0]) == -2
+
+
+def test_texts_with_many_stacks_are_decided(spark):
+    nest = lambda left, right: left * 20 + "1" + right * 20
+    texts = {"js": "x = " + nest("(a=", ")") + ";\n", "ts": "x = " + nest("(a=", ")") + ";\n", "java": "class A { int f = " + nest("(a)(", ")") + "; }\n", "cs": "class A { int f = " + nest("(a)(", ")") + "; }\n", "c": "int f = " + nest("(a)(", ")") + ";\n"}
+    rows = [("p", f"{kind}.{name}", text + more, 1, 1) for name, text in texts.items() for kind, more in (("good", ""), ("bad", "= ; }\n"))]
+    rows.append(("p", "long.cs", "class A { bool f = " + "a < " * 3_000 + "1; }\n", 1, 1))
+    frame = spark.createDataFrame(rows, FILE)
+    assert sorted(r["file_path"] for r in invalid.invalid_files(frame).collect()) == sorted(f"bad.{name}" for name in texts)
+    runs = spark.createDataFrame([], "run_id long, project_id string, files_indexed long")
+    assert sorted((r["language"], r["files"], r["invalid"], r["undecided"]) for r in invalid.invalid_rates(frame, runs).collect()) == [("c", 2, 1, 0), ("csharp", 3, 1, 0), ("java", 2, 1, 0), ("module", 2, 1, 0), ("typescript", 2, 1, 0)]
+
+
+def test_a_text_with_many_stacks_leaves_nothing_behind():
+    parser = invalid.lexer_of("module", invalid.all_tables()).parser
+    assert first_error("module", "f(x);\n") == -1
+    before = len(parser.nodes), len(parser.node_ids), len(parser.sets), len(parser.set_ids), len(parser.steps)
+    assert first_error("module", "x = " + "(a=" * 20 + "1" + ")" * 20 + ";\n") == -1
+    assert before == (len(parser.nodes), len(parser.node_ids), len(parser.sets), len(parser.set_ids), len(parser.steps))
+
+
+@pytest.mark.parametrize("text", ["s = e\ne = e '+' e | N\n", "s = a s N | N\na = | '+'\n", "s = e*\ne = '+'? e '+'? | N?\n", "s = s s | a | \na = b\nb = a | N b? '+'\n"])
+def test_shared_stacks_tell_what_all_stacks_tell(text):
+    grammar = Grammar(text)
+    parser = Recogniser(build(grammar))
+    ids = parser.tables.terminals
+    sentences, seen = {(grammar.start,)}, set()  # what the grammar makes of up to five tokens, by replacing the first name
+    done = set()
+    while sentences:
+        form = sentences.pop()
+        at = next((i for i, x in enumerate(form) if x in grammar.names), None)
+        if at is None:
+            done.add(form)
+            continue
+        made = {form[:at] + grammar.rules[r][1] + form[at + 1 :] for r in grammar.names[form[at]]}
+        made = {m for m in made if len(m) <= 8 and sum(x not in grammar.names for x in m) <= 5}
+        sentences |= made - seen
+        seen |= made
+    words = [()]
+    for _ in range(4):
+        words += [(*w, t) for w in words if len(w) == len(words[-1]) for t in ("N", "'+")]
+    for word in words:
+        assert (parser.shared_error([*(ids[t] for t in word), 0]) == -1) == (word in done), word
+
+
+def test_a_nul_is_not_the_end():
+    for name, text in (("python", "x = 1\n\0 y = (((\n"), ("php", "<?php f();\0 g(((")):
+        assert first_error(name, text) >= 0, text
+    for name, text in (("python", "x = 'a\0b'\n"), ("php", "<?php f('\0');"), ("python", "")):
+        assert first_error(name, text) == -1, text
